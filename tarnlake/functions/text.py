@@ -5,6 +5,8 @@ They follow Python's Unicode rules for white space and line ends rather than Jav
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,6 +36,11 @@ def matches(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is worked out once; an expression that lambdas refer to is worked out for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def pieces(text: Column) -> Column:
     """Lower-cased pieces that hold a letter or digit, in order."""
     return F.transform(F.filter(matches(text, PIECE), lambda x: x.rlike(r"[\p{L}\p{N}]")), F.lower)
@@ -41,9 +48,14 @@ def pieces(text: Column) -> Column:
 
 def tokenize(text: Column) -> Column:
     """The pieces, then every identifier of the lower-cased text that is no piece (repeats kept). Null: no tokens."""
-    first = pieces(F.coalesce(text, F.lit("")))
-    whole = matches(F.lower(F.coalesce(text, F.lit(""))), IDENTIFIER)
-    return F.concat(first, F.filter(whole, lambda w: ~F.array_contains(first, w)))
+    text = F.coalesce(text, F.lit(""))
+    both = F.struct(pieces(text).alias("p"), matches(F.lower(text), IDENTIFIER).alias("w"))
+
+    def joined(x: Column) -> Column:
+        more = F.array_except(x["w"], x["p"])  # few: identifiers with an underscore
+        return let(more, lambda m: F.concat(x["p"], F.when(F.size(m) == 0, m).otherwise(F.filter(x["w"], lambda w: F.array_contains(m, w)))))
+
+    return let(both, joined)
 
 
 def query_terms(text: Column, most: int = 32) -> Column:
@@ -88,13 +100,18 @@ def keywords(text: Column, limit: int = KEYWORDS) -> Column:
     text = F.coalesce(text, F.lit(""))
     latin = F.filter(matches(text, r"[A-Za-z][A-Za-z0-9_-]+"), lambda w: (F.length(w) >= 3) & ~F.lower(w).isin(*STOPWORDS))
     chinese = F.filter(matches(text, r"[一-鿿]{2,}"), lambda w: ~w.isin(*STOPWORDS_ZH))
-    found = F.concat(latin, chinese)
-    keys = F.transform(found, F.lower)
-    ranked = F.transform(
-        F.array_distinct(keys),
-        lambda k: F.struct((-F.size(F.filter(keys, lambda x: x == k))).alias("n"), F.array_position(keys, k).alias("at")),
-    )
-    return F.transform(F.slice(F.array_sort(ranked), 1, limit), lambda r: F.element_at(found, r["at"].cast("int")))
+
+    def ranked(x: Column) -> Column:
+        return F.transform(
+            F.array_distinct(x["keys"]),
+            lambda k: F.struct((-F.size(F.filter(x["keys"], lambda y: y == k))).alias("n"), F.array_position(x["keys"], k).alias("at")),
+        )
+
+    def best(found: Column) -> Column:
+        both = F.struct(found.alias("found"), F.transform(found, F.lower).alias("keys"))
+        return let(both, lambda x: F.transform(F.slice(F.array_sort(ranked(x)), 1, limit), lambda r: F.element_at(x["found"], r["at"].cast("int"))))
+
+    return let(F.concat(latin, chinese), best)
 
 
 def embedding_key(text: Column, dimension: int | None = None) -> Column:

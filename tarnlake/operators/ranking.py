@@ -66,13 +66,17 @@ def bm25_scores(posted: DataFrame, terms: Sequence[str], stats: DataFrame, key:
     return scored.groupBy(key).agg(F.sum(share).alias("bm25"))
 
 
+def _is(term: str) -> Callable[[Column], Column]:
+    return lambda x: x == term
+
+
 def bm25_direct(df: DataFrame, terms: Sequence[str], key: str, tokens: str = "tokens", length: str = "doc_len", stats: DataFrame | None = None) -> DataFrame:
     """The same scores for texts that have no stored postings: counts of the query terms in each row, no explode and no
     shuffle of rows. One pass makes the statistics (a single row), one scores."""
     terms = list(dict.fromkeys(terms))[:MOST_TERMS]
     if not terms:
         return df.select(key, F.lit(0.0).alias("bm25")).limit(0)
-    counts = [F.size(F.filter(tokens, lambda x, t=t: x == t)) for t in terms]
+    counts = [F.size(F.filter(tokens, _is(t))) for t in terms]
     counted = df.select(key, length, F.array(*counts).alias("tfs"))
     known = [F.sum((F.col("tfs")[i] > 0).cast("long")).alias(f"df_{i}") for i in range(len(terms))]
     own = [F.count(F.lit(1)).alias("doc_count"), (F.sum(length) / F.count(F.lit(1))).alias("avg_doc_len")] if stats is None else []

@@ -357,11 +357,11 @@ def embed_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.array_join(F.transform("embedding", lambda x: x.cast("int").cast("string")), ",").alias("letters"))
 
 
-@registered("SELECT event_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 30 DAY")
+@registered("SELECT event_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 10 DAY")
 def ttl_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select("event_id", F.col("ts").alias("created_at"))
     now = events.agg(F.max("created_at").alias("tl_now"))
-    return maintenance.prune_ttl(events.crossJoin(F.broadcast(now)), F.col("tl_now")).select("event_id")
+    return maintenance.prune_ttl(events.crossJoin(F.broadcast(now)), F.col("tl_now"), 10).select("event_id")
 
 
 @registered("SELECT event_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 5000")
@@ -453,7 +453,7 @@ def get_many_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered()
 def collection_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns by users for a query, dense and lexical ranks fused."""
-    records = _generation(spark, sf_dir)
+    records = _generation(spark, sf_dir).persist()
     best = collections.ranked_records(records, "please explain", collections.letters("please explain"), TOP, {"role": "user"}, "hybrid")
     return best.select("rank", "record_id", F.round("score", 6).alias("score"))
 
