@@ -77,9 +77,10 @@ class LangModel:
             part = x[a : a + _AT_ONCE].astype(np.int64)
             pairs = part[:, :-1] << 8 | part[:, 1:]
             v = self.here[pairs]
-            v[:, :-2, FILTERS:] += self.there[pairs[:, 2:]]
-            out[a : a + _AT_ONCE, :FILTERS] = v[:, :, :FILTERS].max(1)
-            out[a : a + _AT_ONCE, FILTERS:] = v[:, :-2, FILTERS:].max(1)
+            v[:, :-1, FILTERS:] += self.there[np.concatenate([pairs[:, 2:], part[:, -1:] << 8], 1)]
+            for k in range(len(WIDTHS)):  # a wider filter has fewer places
+                on = slice(k * FILTERS, (k + 1) * FILTERS)
+                out[a : a + _AT_ONCE, on] = v[:, : v.shape[1] - k, on].max(1)
         return np.maximum(out + self.offsets, 0)
 
     def predict(self, data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -149,8 +150,9 @@ def fit_languages(texts: list[str | None], langs: list[str], most: int = 12_000,
 
 def language_sample(docs: DataFrame, allowed: Column, most: int, text: str = "text", lang: str = "lang", key: str = "doc_id") -> tuple[list, list]:
     """Texts and languages of at most `most` rows that `allowed` lets through; rows without text, id or language don't count."""
-    rows = docs.where(allowed & F.col(key).isNotNull() & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.col(lang).alias("_lang"))
-    rows = rows.orderBy(F.xxhash64("_key"), "_key", F.xxhash64("_text"), "_lang").limit(most).collect()
+    named = docs.where(allowed & F.col(key).isNotNull() & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.col(lang).alias("_lang"))
+    few = named.select("_key").orderBy(F.xxhash64("_key"), "_key").limit(most).distinct()  # ids first: texts of the sample only come to the driver
+    rows = named.join(F.broadcast(few), "_key").orderBy(F.xxhash64("_key"), "_key", F.xxhash64("_text"), "_lang").limit(most).collect()
     return [r["_text"] for r in rows], [r["_lang"] for r in rows]
 
 
