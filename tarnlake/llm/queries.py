@@ -41,7 +41,7 @@ def rated_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mixing.mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken", "position").orderBy(F.col("position").asc_nulls_last())
+    return mixing.mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken", "position").orderBy(F.col("position").asc_nulls_last(), mixing.order_hash(F.col("doc_id")))
 
 
 def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
