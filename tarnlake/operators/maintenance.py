@@ -71,6 +71,26 @@ def embed_distinct(df: DataFrame, text: str, embed: Callable[[Column], Column],
     return keyed.join(made if known is None else made.unionByName(known), "tl_hash", "left").drop("tl_hash")
 
 
+def backfill_lines(chunks: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Chunks whose lines are unknown get those of freshly cut ones (path, chunk_index, start_line, end_line); all else stays."""
+    new = fresh.select("path", "chunk_index", F.col("start_line").alias("tl_start"), F.col("end_line").alias("tl_end"))
+    both = chunks.join(new, ["path", "chunk_index"], "left")
+    lost = F.col("start_line").isNull()
+    filled = both.withColumn("end_line", F.when(lost, F.col("tl_end")).otherwise(F.col("end_line"))).withColumn("start_line", F.coalesce("start_line", "tl_start"))
+    return filled.select(*chunks.columns)
+
+
+def put_embeddings(cache: DataFrame, new: DataFrame, days: int = TTL_DAYS, most: int = CAPACITY, now: Column | None = None) -> DataFrame:
+    """The embedding cache (id, model, text_hash, embedding, created_at) with new entries put in and old ones pruned.
+
+    Of entries for one model and text the newest counts, a new one before an old one of the same time.
+    """
+    both = cache.withColumn("tl_new", F.lit(0)).unionByName(new.withColumn("tl_new", F.lit(1)))
+    order = Window.partitionBy("model", "text_hash").orderBy(F.desc("created_at"), F.desc("tl_new"), F.desc("id"))
+    held = both.withColumn("tl_n", F.row_number().over(order)).where("tl_n = 1").drop("tl_n", "tl_new")
+    return prune_capacity(prune_ttl(held, now, days), most)
+
+
 def prune_ttl(cache: DataFrame, now: Column | None = None, days: int = TTL_DAYS, created: str = "created_at") -> DataFrame:
     return cache.where(F.col(created) >= (F.current_timestamp() if now is None else now) - F.make_dt_interval(F.lit(days)))
 

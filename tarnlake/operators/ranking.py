@@ -120,6 +120,12 @@ def dense_scores(df: DataFrame, query: Sequence[float], key: str, vector: str =
     return have.select(key, dot(F.col(vector), literal_vector(query)).alias("dense"))
 
 
+def over_largest(df: DataFrame, score: str, name: str) -> DataFrame:
+    """Adds `name`: the score over the largest one; 0 if none is positive."""
+    largest = df.agg(F.max(score).alias("tl_most"))
+    return df.crossJoin(F.broadcast(largest)).withColumn(name, F.when(F.col("tl_most") > 0, F.col(score) / F.col("tl_most")).otherwise(0.0)).drop("tl_most")
+
+
 def top(df: DataFrame, score: str, key: str, k: int) -> DataFrame:
     """The k best rows with their rank from 1: a top-k of each partition, then one of those."""
     best = df.orderBy(F.desc(score), key).limit(k)

@@ -357,6 +357,29 @@ def embed_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.array_join(F.transform("embedding", lambda x: x.cast("int").cast("string")), ",").alias("letters"))
 
 
+@registered(f"{_WINDOWS} SELECT doc_id, window_index::INT AS window_index, doc_id % 3 = 0 AS known FROM n")
+def line_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of which two thirds have lost their lines, with all lines again; `known` tells those that never lost them."""
+    cut = chunking.windows(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    fresh = cut.select(F.col("doc_id").alias("path"), F.col("window_index").alias("chunk_index"), "start_line", "end_line")
+    keep = F.col("path") % 3 == 0
+    old = fresh.select("path", "chunk_index", F.when(keep, F.lit(-1)).alias("start_line"), F.when(keep, F.lit(-1)).alias("end_line"))
+    out = maintenance.backfill_lines(old, fresh).where("start_line is not null and end_line is not null")
+    return out.select(F.col("path").alias("doc_id"), F.col("chunk_index").alias("window_index"), (F.col("start_line") == -1).alias("known"))
+
+
+@registered("""WITH c AS (SELECT event_id AS id, 'u' || user_id AS text_hash, ts FROM events),
+r AS (SELECT *, row_number() OVER (PARTITION BY text_hash ORDER BY ts DESC, CASE WHEN id % 2 = 1 THEN 1 ELSE 0 END DESC, id DESC) AS n FROM c)
+SELECT id, text_hash FROM r WHERE n = 1 AND ts >= (SELECT max(ts) FROM events) - INTERVAL 20 DAY ORDER BY ts DESC, id DESC LIMIT 400""")
+def cache_put(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as cache entries for their users: the odd ones put into a cache of the even ones, then pruned."""
+    events = table(spark, sf_dir, "events")
+    now = events.agg(F.max("ts").alias("now")).first()["now"]
+    rows = events.select(F.col("event_id").alias("id"), F.lit("m").alias("model"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("text_hash"), F.array(F.col("value").cast("float")).alias("embedding"), F.col("ts").alias("created_at"))
+    out = maintenance.put_embeddings(rows.where("id % 2 = 0"), rows.where("id % 2 = 1"), 20, 400, F.lit(now))
+    return out.select("id", "text_hash")
+
+
 @registered("SELECT event_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 10 DAY")
 def ttl_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select("event_id", F.col("ts").alias("created_at"))
@@ -411,7 +434,7 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _generation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns put in, then those of every third conversation again: the even ones with a new text."""
     none = spark.createDataFrame([], collections.RECORDS)
-    first = collections.merged(none, turns(spark, sf_dir).select("record_key", "text", "metadata"), 1, collections.LETTERS)
+    first = collections.merged(none, turns(spark, sf_dir).select("record_key", "text", "metadata"), 1, collections.LETTERS).persist()
     again = turns(spark, sf_dir).where("conv_id % 3 = 0").withColumn("text", F.when(F.col("turn") % 2 == 0, F.concat("text", F.lit(" again"))).otherwise(F.col("text")))
     return collections.merged(first, again.select("record_key", "text", "metadata"), 10**9, collections.LETTERS)
 
@@ -476,6 +499,14 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- reranking and evaluation --------------------------------------------------------------------------------------
 
 
+@registered(f"WITH {bm25_sql('documents')} SELECT doc_id, round(score / (SELECT max(score) FROM bm25), 6) AS share FROM bm25")
+def max_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores over the largest one; 0 if none is positive."""
+    docs = ranking.with_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), F.col("text"))
+    scores = ranking.bm25_direct(docs, terms_of(ASKED), "doc_id")
+    return ranking.over_largest(scores, "bm25", "share").select("doc_id", F.round("share", 6).alias("share"))
+
+
 @registered("SELECT unnest([1, 9, 10, 11, 50, 75, 100, 200])::INT AS k, unnest([20, 20, 20, 22, 100, 150, 150, 150])::INT AS candidates")
 def rerank_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(k, ranking.candidates(k)) for k in (1, 9, 10, 11, 50, 75, 100, 200)], "k int, candidates int")
