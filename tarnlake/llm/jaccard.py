@@ -13,6 +13,7 @@ meet there, and those that still have too many after the last hash sign their em
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,8 @@ from tarnlake.llm.store import dropped, fresh, saved
 WORDS, PERCENT = 4, 85
 #: Largest size of a band by its smallest; hashes that a set may sign under.
 WIDTH, TRIES = 1.5, 8
+#: Words of 64 bits in a set's sketch.
+SKETCH = 16
 #: Set keys that a task remembers at most, so as not to sign one set again and again.
 REMEMBERED = 200_000
 
@@ -114,11 +117,11 @@ def signatures(h: np.ndarray, n: np.ndarray, percent: int = PERCENT) -> tuple[np
 
 
 def sketches(h: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """256 parities of each set: two sets differ in at least as many elements as bits."""
-    row = np.repeat(np.arange(len(n)), n)
-    bit = (mixed(h ^ _K) >> np.uint64(56)).astype(np.int64)
-    odd = (np.bincount(row * 256 + bit, minlength=256 * len(n)) & 1).astype(np.uint8)
-    return np.packbits(odd.reshape(-1, 256), 1).view(np.int64).reshape(-1, 4)
+    """64 * SKETCH parities of each set: two sets differ in at least as many elements as bits."""
+    row, bits = np.repeat(np.arange(len(n)), n), 64 * SKETCH
+    bit = (mixed(h ^ _K) % np.uint64(bits)).astype(np.int64)
+    odd = (np.bincount(row * bits + bit, minlength=bits * len(n)) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(-1, bits), 1).view(np.int64).reshape(-1, SKETCH)
 
 
 def set_keys(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -133,7 +136,8 @@ def set_keys(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-_SETS = "id long, n long, lo long, hi long, s0 long, s1 long, s2 long, s3 long, sigs array<long>"
+_PARITIES = [f"s{i}" for i in range(SKETCH)]
+_SETS = f"id long, n long, lo long, hi long, {', '.join(f'{s} long' for s in _PARITIES)}, sigs array<long>"
 
 
 def _sets(words: int, percent: int):
@@ -156,7 +160,7 @@ def _sets(words: int, percent: int):
                 per[new] = np.bincount(owner, minlength=int(new.sum()))
                 arrays = [piece.column(0), pa.array(n), pa.array(lo), pa.array(hi), *map(pa.array, sketches(h, n).T.copy())]
                 arrays.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per)]), pa.int32()), pa.array(sig[order].view(np.int64))))
-                yield pa.RecordBatch.from_arrays(arrays, names=["id", "n", "lo", "hi", "s0", "s1", "s2", "s3", "sigs"])
+                yield pa.RecordBatch.from_arrays(arrays, names=["id", "n", "lo", "hi", *_PARITIES, "sigs"])
 
     return run
 
@@ -177,12 +181,12 @@ def _hashes(words: int):
 def _bounded(pairs: DataFrame, percent: int) -> DataFrame:
     """Pairs (with n and sketch of both) that sizes and sketches leave possible."""
     allowed = F.floor((100 - percent) * (F.col("n_a") + F.col("n_b")) / (100 + percent))
-    differ = sum((F.bit_count(F.col(f"s{i}_a").bitwiseXOR(F.col(f"s{i}_b"))) for i in range(1, 4)), F.bit_count(F.col("s0_a").bitwiseXOR(F.col("s0_b"))))
+    differ = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{s}_a").bitwiseXOR(F.col(f"{s}_b"))) for s in _PARITIES])
     return pairs.where((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (differ <= allowed))
 
 
 def _as(df: DataFrame, end: str, node: str = "lo") -> DataFrame:
-    return df.select(F.col(node).alias(end), F.col("n").alias(f"n_{end}"), *[F.col(f"s{i}").alias(f"s{i}_{end}") for i in range(4)])
+    return df.select(F.col(node).alias(end), F.col("n").alias(f"n_{end}"), *[F.col(s).alias(f"{s}_{end}") for s in _PARITIES])
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -215,28 +219,35 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
     signed = first.where("size(sigs) > 0").select(F.explode("sigs").alias("sig"), "lo")
     group = Window.partitionBy("sig").orderBy("lo")
     grouped = signed.select("sig", "lo", F.lag("lo").over(group).alias("prev"), F.lead("lo").over(group).alias("next"))
-    grouped = saved(grouped.where("prev <> lo or next <> lo").select("sig", "lo", "prev").where("prev is null or prev <> lo"))
+    grouped = saved(grouped.where("prev <> lo or next <> lo").select("sig", "lo", "prev"))
     rows = saved(first.drop("sigs"))
     dropped(first)
-    classes = saved(rows.where("n > 0 and id is not null").groupBy("lo", "hi").agg(F.min("id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "s0", "s1", "s2", "s3")]))
+    classes = saved(rows.where("n > 0 and id is not null").groupBy("lo", "hi").agg(F.min("id").alias("rep"), *[F.first(c).alias(c) for c in ("n", *_PARITIES)]))
 
-    tried = grouped.where("prev is not null").select(F.col("prev").alias("a"), F.col("lo").alias("b")).distinct()
+    tried = grouped.where("prev <> lo").select(F.col("prev").alias("a"), F.col("lo").alias("b")).distinct()
     tried = saved(_bounded(tried.join(_as(classes, "a"), "a").join(_as(classes, "b"), "b"), percent).select("a", "b"))
     links = _verified(tried, classes, texts, words, percent)
     parts = saved(components(links))
 
     held = grouped.select("sig", "lo").join(classes, "lo").join(parts, F.col("lo") == F.col("node"), "left").withColumn("part", F.coalesce("component", "lo"))
-    held = saved(held.select("sig", "lo", "part", "n", "s0", "s1", "s2", "s3").distinct())
+    held = saved(held.select("sig", "lo", "part", "n", *_PARITIES).distinct())
     open_ = held.groupBy("sig").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("sig")
     held_open = held.join(open_, "sig", "left_semi")
-    one = held_open.select("sig", F.col("part").alias("part_a"), F.col("lo").alias("a"), *[F.col(c).alias(f"{c}_a") for c in ("n", "s0", "s1", "s2", "s3")])
-    two = held_open.select("sig", F.col("part").alias("part_b"), F.col("lo").alias("b"), *[F.col(c).alias(f"{c}_b") for c in ("n", "s0", "s1", "s2", "s3")])
+    one = held_open.select("sig", F.col("part").alias("part_a"), F.col("lo").alias("a"), *[F.col(c).alias(f"{c}_a") for c in ("n", *_PARITIES)])
+    two = held_open.select("sig", F.col("part").alias("part_b"), F.col("lo").alias("b"), *[F.col(c).alias(f"{c}_b") for c in ("n", *_PARITIES)])
     rest = _bounded(one.join(two, "sig").where("a < b and part_a <> part_b"), percent).select("a", "b").distinct()
     rest = saved(rest.join(tried, ["a", "b"], "left_anti"))
     more = _verified(rest, classes, texts, words, percent)
-    whole = components(links.union(more))
-
-    named = classes.join(whole, F.col("lo") == F.col("node"), "left").withColumn("part", F.coalesce("component", "lo"))
+    # links of the second step join components of the first: a small graph of their own
+    up = parts.select(F.col("node").alias("below"), F.col("component").alias("above"))
+    ends = more
+    for end in ("a", "b"):
+        ends = ends.join(up, F.col(end) == F.col("below"), "left").withColumn(end, F.coalesce("above", end)).drop("below", "above")
+    whole = components(ends).select(F.col("node").alias("first_part"), F.col("component").alias("whole"))
+
+    named = classes.join(parts, F.col("lo") == F.col("node"), "left").withColumn("first", F.coalesce("component", "lo"))
+    named = named.join(whole, F.col("first") == F.col("first_part"), "left").withColumn("part", F.coalesce("whole", "first"))
+    named = named.withColumn("component", F.coalesce("component", "whole"))
     named = named.withColumn("tl_hi", F.when(F.col("component").isNull(), F.col("hi")))  # sets with one half key in common, unlinked
     least = named.groupBy(F.col("part").alias("of_part"), F.col("tl_hi").alias("of_hi")).agg(F.min("rep").alias("component_id"))
     named = named.join(least, (F.col("part") == F.col("of_part")) & F.col("tl_hi").eqNullSafe(F.col("of_hi"))).select("lo", "hi", "component_id")

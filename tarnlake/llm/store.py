@@ -19,12 +19,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """`df` written as Parquet in the shared folder and read again: cuts lineage, and outlives lost executors."""
+def saved(df: DataFrame, width: int | None = None) -> DataFrame:
+    """`df` written as Parquet in the shared folder and read again: cuts lineage, and outlives lost executors. `width`:
+    tasks at most, for tables known to be small."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tarnlake-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.coalesce(width) if width else df).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
+    out = out.coalesce(width) if width else out
     out._tarnlake_path = path
     return out
 
