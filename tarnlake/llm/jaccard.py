@@ -28,6 +28,8 @@ from tarnlake.llm.store import dropped, fresh, saved
 WORDS, PERCENT = 4, 85
 #: Largest size of a band by its smallest; hashes that a set may sign under.
 WIDTH, TRIES = 1.5, 8
+#: Turns in which sets meet another neighbour of their group, before all pairs across components are tried.
+TURNS = 3
 #: Words of 64 bits in a set's sketch.
 SKETCH = 16
 #: Set keys that a task remembers at most, so as not to sign one set again and again.
@@ -192,7 +194,7 @@ def _as(df: DataFrame, end: str, node: str = "lo") -> DataFrame:
 def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Of pairs (a, b) of set keys, those whose whole sets link. Only texts of sets in a pair are read into sets again."""
     nodes = pairs.select(F.col("a").alias("lo")).union(pairs.select(F.col("b").alias("lo"))).distinct()
-    wanted = nodes.join(classes, "lo").select("lo", F.col("rep").alias("id"))
+    wanted = saved(nodes.join(classes, "lo").select("lo", F.col("rep").alias("id")))  # written, so its size decides how it is joined
     sets = texts.join(wanted, "id").select("lo", "text").mapInArrow(_hashes(words), "node long, h array<long>")
     sets = saved(sets.dropDuplicates(["node"]))
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("h").alias("ha")), "a").join(sets.select(F.col("node").alias("b"), F.col("h").alias("hb")), "b")
@@ -202,6 +204,22 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: int
     return out
 
 
+def _in_parts(members: DataFrame, parts: DataFrame) -> DataFrame:
+    return members.join(parts, F.col("lo") == F.col("node"), "left").select("sig", "lo", F.coalesce("component", "lo").alias("part"))
+
+
+def _merged(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (node, component) after further links: those links make a small graph between components."""
+    up = parts.select(F.col("node").alias("below"), F.col("component").alias("above"))
+    ends = links
+    for end in ("a", "b"):
+        ends = ends.join(up, F.col(end) == F.col("below"), "left").withColumn(end, F.coalesce("above", end)).drop("below", "above")
+    whole = saved(components(ends)).select(F.col("node").alias("first"), F.col("component").alias("whole"))
+    alone = links.select(F.col("a").alias("node")).union(links.select("b")).distinct().join(parts, "node", "left_anti")
+    known = parts.select("node", "component").union(alone.select("node", F.col("node").alias("component")))
+    return saved(known.join(whole, F.col("component") == F.col("first"), "left").select("node", F.coalesce("whole", "component").alias("component")))
+
+
 def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """key, n_shingles and component_id (smallest key reachable over links, itself included) for every row.
 
@@ -210,9 +228,10 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
     without a key (null) take no part and have no component. Repeated keys are rows of one document if their texts are
     equal; otherwise they are tied only by the id. Long texts are taken whole. An empty table gives an empty one.
 
-    Candidates in a signature's group are found in two steps. First each set is paired with the next one of the group,
-    which is linear in the group; links found make components. Then all pairs whose members are in different components
-    are tried, so no link that could join two components is lost; pairs within one component are never formed.
+    Candidates in a signature's group are found in steps. First each set is paired with the next one of the group, which
+    is linear in the group; links found make components. A few turns do the same in another order, for neighbours in
+    different components. Then all pairs whose members still are in different components are tried, so no link that
+    could join two components is lost; pairs within one component are never formed.
     """
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     first = saved(texts.mapInArrow(_sets(words, percent), _SETS))
@@ -228,9 +247,18 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
     tried = saved(_bounded(tried.join(_as(classes, "a"), "a").join(_as(classes, "b"), "b"), percent).select("a", "b"))
     links = _verified(tried, classes, texts, words, percent)
     parts = saved(components(links))
+    members = saved(grouped.select("sig", "lo").distinct())
+    for turn in range(TURNS):  # other neighbours in each turn, and only such as are in another component
+        order = Window.partitionBy("sig").orderBy(F.xxhash64("lo", F.lit(turn)), "lo")
+        placed = _in_parts(members, parts).select(F.lag("lo").over(order).alias("x"), F.col("lo").alias("y"), F.lag("part").over(order).alias("px"), F.col("part").alias("py"))
+        pairs = placed.where("px <> py").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        pairs = _bounded(pairs.join(_as(classes, "a"), "a").join(_as(classes, "b"), "b"), percent).select("a", "b")
+        pairs = saved(pairs.join(tried, ["a", "b"], "left_anti"))
+        if pairs.isEmpty():
+            break
+        tried, parts = saved(tried.union(pairs)), _merged(parts, _verified(pairs, classes, texts, words, percent))
 
-    held = grouped.select("sig", "lo").join(classes, "lo").join(parts, F.col("lo") == F.col("node"), "left").withColumn("part", F.coalesce("component", "lo"))
-    held = saved(held.select("sig", "lo", "part", "n", *_PARITIES).distinct())
+    held = saved(_in_parts(members, parts).join(classes, "lo").select("sig", "lo", "part", "n", *_PARITIES))
     open_ = held.groupBy("sig").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("sig")
     held_open = held.join(open_, "sig", "left_semi")
     one = held_open.select("sig", F.col("part").alias("part_a"), F.col("lo").alias("a"), *[F.col(c).alias(f"{c}_a") for c in ("n", *_PARITIES)])
@@ -238,16 +266,8 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
     rest = _bounded(one.join(two, "sig").where("a < b and part_a <> part_b"), percent).select("a", "b").distinct()
     rest = saved(rest.join(tried, ["a", "b"], "left_anti"))
     more = _verified(rest, classes, texts, words, percent)
-    # links of the second step join components of the first: a small graph of their own
-    up = parts.select(F.col("node").alias("below"), F.col("component").alias("above"))
-    ends = more
-    for end in ("a", "b"):
-        ends = ends.join(up, F.col(end) == F.col("below"), "left").withColumn(end, F.coalesce("above", end)).drop("below", "above")
-    whole = components(ends).select(F.col("node").alias("first_part"), F.col("component").alias("whole"))
-
-    named = classes.join(parts, F.col("lo") == F.col("node"), "left").withColumn("first", F.coalesce("component", "lo"))
-    named = named.join(whole, F.col("first") == F.col("first_part"), "left").withColumn("part", F.coalesce("whole", "first"))
-    named = named.withColumn("component", F.coalesce("component", "whole"))
+    parts = _merged(parts, more)
+    named = classes.join(parts, F.col("lo") == F.col("node"), "left").withColumn("part", F.coalesce("component", "lo"))
     named = named.withColumn("tl_hi", F.when(F.col("component").isNull(), F.col("hi")))  # sets with one half key in common, unlinked
     least = named.groupBy(F.col("part").alias("of_part"), F.col("tl_hi").alias("of_hi")).agg(F.min("rep").alias("component_id"))
     named = named.join(least, (F.col("part") == F.col("of_part")) & F.col("tl_hi").eqNullSafe(F.col("of_hi"))).select("lo", "hi", "component_id")
