@@ -56,6 +56,13 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = PIECE_BYTES) -> Iter
         first = last
 
 
+def flat_pieces(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """flat() of a list of texts, piece by piece: what is worked out for one piece bounds the memory, not the list."""
+    batch = pa.record_batch([pa.array(texts, pa.string())], ["text"])
+    for piece in pieces(batch, "text"):
+        yield flat(piece.column(0))
+
+
 def runs(inside: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Where runs of True begin and end (exclusive), cut at row edges, and the number of runs in each row."""
     n = len(inside)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnlake.llm.arrowtext import LOWER, WHITE, Hasher, flat, pieces, runs
+from tarnlake.llm.arrowtext import LOWER, WHITE, Hasher, flat, flat_pieces, pieces, runs
 from tarnlake.llm.chain import Chain
 from tarnlake.llm.store import fresh
 
@@ -136,9 +136,8 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 300, l2: float = 1e-3)
 
 def fit_quality(texts: list[str | None], labels: list[int], rounds: int = 120) -> QualityModel:
     """Every line of a labelled document carries the document's label. Without both labels: a model that says 0.5."""
-    data, edges = flat(pa.array(texts, pa.string()))
     y = np.asarray(labels, np.int64)
-    x, size, per = line_features(data, edges)
+    x, size, per = (np.concatenate(parts) for parts in zip(line_features(np.zeros(0, np.uint8), np.zeros(1, np.int64)), *(line_features(*p) for p in flat_pieces(texts)), strict=True))
     wide = x.shape[1]
     mean, scale = (x.mean(0), x.std(0) + 1e-3) if len(x) else (np.zeros(wide, np.float32), np.ones(wide, np.float32))
     model = QualityModel(np.zeros(wide), 0.0, mean, scale, Chain(np.zeros((2, 2)), 0.0), 0.0, 0.0)

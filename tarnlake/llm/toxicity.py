@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnlake.llm.arrowtext import LOWER, Hasher, flat, mixed, pieces, runs
+from tarnlake.llm.arrowtext import LOWER, Hasher, flat, flat_pieces, mixed, pieces, runs
 from tarnlake.llm.chain import Chain
 from tarnlake.llm.quality import logistic
 from tarnlake.llm.store import fresh, kind
@@ -139,11 +139,10 @@ def fit_words(hashes: np.ndarray, first: np.ndarray, tags: np.ndarray, keys: np.
 
 def fit_toxicity(texts: list[str | None], labels: list[int], rounds: int = 60) -> ToxicModel:
     """From documents with labels (1: toxic). Without both labels, all texts get one low score."""
-    data, edges = flat(pa.array(texts, pa.string()))
     toxic = np.asarray(labels, np.int64)
-    starts, _, per, hashes = words(data, edges)
+    per, hashes = (np.concatenate(parts) for parts in zip(words(np.zeros(0, np.uint8), np.zeros(1, np.int64))[2:], *(words(*p)[2:] for p in flat_pieces(texts)), strict=True))
     row = np.repeat(np.arange(len(per)), per)
-    first = np.zeros(len(starts), bool)
+    first = np.zeros(len(hashes), bool)
     first[(np.cumsum(per) - per)[per > 0]] = True
     tags, keys = label_words(row, hashes, toxic)
     some = (toxic > 0) | (np.cumsum(1 - toxic) <= max(toxic.sum(), 50))  # the CRF needs no more clean documents than toxic ones
