@@ -266,7 +266,8 @@ def test_jaccard_components(spark, docs, none):
                 other[int(rng.integers(0, len(other)))] = word()
             texts.append(" ".join(other).upper() if rng.random() < 0.2 else " ".join(other))
     rows = [(50 + i, t) for i, t in enumerate(texts)] + [(i, t) for i, t, *_ in ROWS] + [(40, None), (41, "one two"), (42, "ONE two"), (43, "one two three")]
-    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    rows += [(1000 + i, t) for i, t in enumerate(texts[::2])]  # copies, in other partitions
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     sets = [(i, _sets(t)) for i, t in rows]
     least = {i: i for i, _ in rows if i is not None}
     while True:

@@ -1,0 +1,84 @@
+"""The pipeline's stages against plain versions, and the registry."""
+
+import re
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+import __spark_entry__
+import corpus_pipeline
+from tarnlake.llm import queries
+from tarnlake.llm.store import saved
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def steps(spark):
+    """What each stage has read and returned."""
+    docs, out = spark.read.parquet(f"{SF}/documents.parquet"), []
+    for name, stage in corpus_pipeline.STAGES:
+        after = saved(stage(spark, docs, SF))
+        out.append((name, docs, after))
+        docs = after
+    return out
+
+
+def test_stages_return_documents(steps):
+    for _, before, after in steps[:-1]:
+        assert after.columns == before.columns and after.count()
+
+
+def test_good_documents_stay(spark, steps):
+    _, before, after = steps[0]
+    kept = {r["doc_id"] for r in after.select("doc_id").collect()}
+    labels = spark.read.parquet(f"{SF}/labels.parquet").join(before, "doc_id").collect()
+    right = [(r["doc_id"] in kept) == bool(r["quality"]) for r in labels]
+    assert sum(right) >= 0.95 * len(right)
+
+
+def _shingles(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(w[i : i + 4]) for i in range(len(w) - 3)} if len(w) >= 4 else {tuple(w)} - {()}
+
+
+def test_one_of_each_group_stays(steps):
+    _, before, after = steps[1]
+    sets = {r["doc_id"]: _shingles(r["text"]) for r in before.collect()}
+    least = {i: i for i in sets}
+    links = [(i, j) for i, a in sets.items() for j, b in sets.items() if i < j and a and b and 100 * len(a & b) >= 85 * len(a | b)]
+    while True:
+        old = dict(least)
+        for i, j in links:
+            least[i] = least[j] = min(least[i], least[j])
+        if old == least:
+            break
+    assert sorted(r["doc_id"] for r in after.collect()) == sorted(set(least.values()))
+
+
+def test_secrets_are_masked(steps):
+    _, before, after = steps[2]
+    assert before.count() == after.count()
+    pattern = r"AKIA[A-Z0-9]{16,}|[0-9a-f]{24,}"
+    assert after.where(F.col("text").rlike(pattern)).count() == 0 and after.where(F.length("text") != F.col("n_chars")).count() == 0
+
+
+def test_mix_repeats_and_drops(steps):
+    _, before, after = steps[3]
+    times = Counter(r["doc_id"] for r in after.collect())
+    assert max(times.values()) <= 2 and set(times) <= {r["doc_id"] for r in before.collect()}
+
+
+def test_encoding_is_the_librarys(steps):
+    tokenizers = pytest.importorskip("tokenizers")
+    t = tokenizers.Tokenizer.from_file(queries.tokenizer_path())
+    _, before, after = steps[4]
+    want = Counter((r["doc_id"], tuple(t.encode(r["text"] or "", add_special_tokens=False).ids)) for r in before.collect())
+    assert Counter((r["doc_id"], tuple(r["ids"])) for r in after.collect()) == want
+
+
+def test_registry():
+    names = [n for n in __spark_entry__.queries() if n.startswith("op")]
+    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11)) and "pipeline" in __spark_entry__.queries()
+    assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
