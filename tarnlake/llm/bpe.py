@@ -22,10 +22,10 @@ from tarnlake.llm.arrowtext import WHITE, Hasher, pieces, runs
 from tarnlake.llm.store import fresh, kind
 
 #: Cuts that a worker remembers at most (some 30 bytes each); then it starts anew.
-REMEMBERED = 1_500_000
+REMEMBERED = 500_000
 
 #: Bytes of text that are worked on at once.
-PIECE = 4 << 20
+PIECE = 2 << 20
 
 #: White space beyond ASCII, as the tokenizer's patterns have it.
 _FAR_SPACE = regex.compile(r"[^\P{White_Space}\x00-\x7f]")
