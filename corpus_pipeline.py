@@ -30,9 +30,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What the mix takes, in training order; a document stands there as often as the mix begins it, and whole."""
-    mixed = mixing.in_training_order(mixing.mix_sources(docs))  # sorted once each; repeats are made afterwards, in place
-    turns = F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int")))
-    return mixed.withColumn("tl_turn", turns).select(*docs.columns)
+    return mixing.in_training_order(mixing.mix_sources(docs, turns=True)).select(*docs.columns)  # each repeat at a place of its own
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

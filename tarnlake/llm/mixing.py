@@ -62,7 +62,7 @@ def demand_position(x: Column, total: Column, knots: list[Column]) -> Column:
     return out.otherwise(F.lit(1.0))
 
 
-def mix_sources(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", weights: tuple[int, ...] = WEIGHTS, schedules: tuple[tuple[float, ...], ...] = SCHEDULES, share: tuple[int, int] = (3, 2), cap: int = 2) -> DataFrame:
+def mix_sources(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", weights: tuple[int, ...] = WEIGHTS, schedules: tuple[tuple[float, ...], ...] = SCHEDULES, share: tuple[int, int] = (3, 2), cap: int = 2, turns: bool = False) -> DataFrame:
     """Adds size, source_size, target (of the source), taken (words the mix takes, repeats counted) and position.
 
     A source's documents stand in the order of a hash of key and text. The mix takes words along that order until the
@@ -80,14 +80,17 @@ def mix_sources(docs: DataFrame, text: str = "text", source: str = "source", key
     targets = targets.select(F.col("tl_name").alias(source), F.col("tl_words").alias("source_size"), F.col("tl_target").alias("target"), F.col("tl_rank").alias(rank))
     rows = running(rows, [source], order, F.col("size"), before, ["size"], targets)
     words = F.floor(F.col("target") + 0.5)
-    taken = None
-    for k in range(cap):
-        part = F.greatest(F.lit(0), F.least(F.col("size"), words - F.col(before) - k * F.col("source_size")))
-        taken = part if taken is None else taken + part
-    turn = F.col(rank) % len(schedules)
-    knots = [F.element_at(F.array(*[F.lit(float(s[i])) for s in schedules]), (turn + 1).cast("int")) for i in range(len(schedules[0]))]
-    rows = rows.withColumn("taken", taken.cast("long"))
-    rows = rows.withColumn("position", F.when(F.col("taken") > 0, F.round(demand_position(F.col(before).cast("double"), F.col("target"), knots), 9)))
+    starts = [F.col(before) + k * F.col("source_size") for k in range(cap)]
+    parts = [F.greatest(F.lit(0), F.least(F.col("size"), words - start)).cast("long") for start in starts]
+    schedule = F.col(rank) % len(schedules)
+    knots = [F.element_at(F.array(*[F.lit(float(s[i])) for s in schedules]), (schedule + 1).cast("int")) for i in range(len(schedules[0]))]
+    places = [F.round(demand_position(start.cast("double"), F.col("target"), knots), 9) for start in starts]
+    if turns:
+        each = F.array(*[F.struct(F.lit(k).alias("turn"), part.alias("taken"), place.alias("position")) for k, (part, place) in enumerate(zip(parts, places))])
+        rows = rows.select("*", F.inline(F.filter(each, lambda x: x["taken"] > 0)))
+    else:
+        rows = rows.withColumn("taken", sum(parts[1:], parts[0]))
+        rows = rows.withColumn("position", F.when(F.col("taken") > 0, places[0]))
     return rows.drop(order, before, rank)
 
 

@@ -70,6 +70,16 @@ def test_mix_repeats_and_drops(steps):
     assert max(times.values()) <= 2 and set(times) <= {r["doc_id"] for r in before.collect()}
 
 
+def test_second_pass_has_its_own_places(spark):
+    rows = [(i, f"a{i} " * 10, "en", "a", 0) for i in range(20)] + [(100 + i, f"b{i} " * 10, "en", "b", 0) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    order = [r["doc_id"] for r in corpus_pipeline.mix(spark, docs, SF).collect()]
+    few = [i for i in order if i < 100]  # target 2 x its size, even schedule
+    assert len(few) == 40 and few[:20] == few[20:] and len(set(few[:20])) == 20
+    half = sum(i < 100 for i in order[: len(order) // 2])
+    assert 10 <= half <= 30
+
+
 def test_encoding_is_the_librarys(steps):
     tokenizers = pytest.importorskip("tokenizers")
     t = tokenizers.Tokenizer.from_file(queries.tokenizer_path())
