@@ -23,7 +23,7 @@ def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets in their texts replaced by a mark; n_chars follows the text."""
-    out = secrets.find_secrets(docs)
+    out = secrets.find_secrets(docs, whole=True)
     out = out.withColumn("text", secrets.masked(F.col("text"), F.col("span_list")))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 

@@ -18,6 +18,8 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{24,}"
 #: Weak parts: what could be a secret key by its length alone, and endpoints.
 KEYLIKE = r"[A-Za-z0-9+/=_-]{40,}"
+#: The same with `=` between a name and its value, as in env files, and of any length from 40 on.
+VALUE = r"[A-Za-z0-9+/_-]{40,}={0,2}"
 ENDPOINT = r"(?:https?|s3)://[A-Za-z0-9._~:/?#@!$&*+,;=%-]+"
 #: Base kinds as they rank at one start, then those that linking adds.
 KINDS = ("assign", "access", "hex", "secret", "endpoint")
@@ -52,11 +54,12 @@ def written(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda s: F.concat_ws(":", F.element_at(names, s["rank"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def linked(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
+def linked(parts: DataFrame, scope: int = SCOPE, chained: bool = False) -> DataFrame:
     """Weak spans near an access identifier: from (tl_key, tl_strong, tl_weak) to (tl_key, tl_added).
 
     Cells are `scope` wide. A strong span covers the cells from `scope` before its start to `scope` behind its end; a
     weak span joins in the cells that it touches. The join is a semi-join: no pairs come out, whatever a text holds.
+    `chained`: endpoints near a secret that is linked, and secrets near such an endpoint, are linked as well.
     """
     def cells(lo: Column, hi: Column) -> Column:
         return F.explode(F.sequence(F.floor(lo / scope), F.floor(hi / scope)))
@@ -64,16 +67,27 @@ def linked(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
     strong = parts.select("tl_key", F.explode("tl_strong").alias("s")).select("tl_key", F.col("s.start").alias("a"), F.col("s.end").alias("b"))
     strong = strong.withColumn("cell", cells(F.col("a") - scope, F.col("b") + scope))
     weak = parts.select("tl_key", F.explode("tl_weak").alias("w")).withColumn("cell", cells(F.col("w.start"), F.col("w.end")))
-    near = (weak["tl_key"] == strong["tl_key"]) & (weak["cell"] == strong["cell"]) & (weak["w.start"] <= strong["b"] + scope) & (weak["w.end"] >= strong["a"] - scope)
-    return weak.join(strong, near, "left_semi").groupBy("tl_key").agg(F.array_sort(F.collect_set("w")).alias("tl_added"))
+    def near(strong: DataFrame) -> Column:
+        return (weak["tl_key"] == strong["tl_key"]) & (weak["cell"] == strong["cell"]) & (weak["w.start"] <= strong["b"] + scope) & (weak["w.end"] >= strong["a"] - scope)
 
+    found = weak.join(strong, near(strong), "left_semi").select("tl_key", "w")
+    if chained:
+        found = saved(found.distinct())
+        again = found.select("tl_key", F.col("w.start").alias("a"), F.col("w.end").alias("b"), F.col("w.rank").alias("kind"))
+        again = again.withColumn("cell", cells(F.col("a") - scope, F.col("b") + scope))
+        found = found.union(weak.join(again, near(again) & (weak["w.rank"] != again["kind"]), "left_semi").select("tl_key", "w"))
+    return found.groupBy("tl_key").agg(F.array_sort(F.collect_set("w")).alias("tl_added"))
 
-def find_secrets(docs: DataFrame, text: str = "text", key: str = "doc_id", scope: int = SCOPE) -> DataFrame:
+
+def find_secrets(docs: DataFrame, text: str = "text", key: str = "doc_id", scope: int = SCOPE, whole: bool = False) -> DataFrame:
     """Adds n_assign, n_access, n_hex, base_sha256, spans (as text) and span_list (start, rank in KINDS, end) to every row.
 
     Null texts count as empty: no spans, and the hash of nothing. A very long text is one row, scanned whole. Repeated
     texts get equal values: linking works on distinct texts. An empty table gives an empty one, and columns named like
     the new ones are replaced.
+
+    Weak secrets are runs of exactly 40 key characters, `=` among them. With `whole`, they are also values of 40 or more
+    behind a name and `=`, and endpoints link with secrets, not only with access identifiers.
     """
     outputs = ("n_assign", "n_access", "n_hex", "base_sha256", "spans", "span_list")
     docs = docs.drop(*outputs)
@@ -82,10 +96,11 @@ def find_secrets(docs: DataFrame, text: str = "text", key: str = "doc_id", scope
     rows = rows.withColumn(assign, spans(F.col(t), ASSIGN, "assign", 6, 2)).withColumn(access, spans(F.col(t), ACCESS, "access", 20)).withColumn(hexes, spans(F.col(t), HEX, "hex"))
     # weak parts matter only beside an access identifier, so other texts aren't searched for them
     some = F.size(access) > 0
-    rows = rows.withColumn(weak, F.when(some, F.concat(spans(F.col(t), KEYLIKE, "secret", 40, most=40), spans(F.col(t), ENDPOINT, "endpoint"))))
+    values = [spans(F.col(t), VALUE, "secret")] if whole else []
+    rows = rows.withColumn(weak, F.when(some, F.concat(spans(F.col(t), KEYLIKE, "secret", 40, most=40), *values, spans(F.col(t), ENDPOINT, "endpoint"))))
     rows = rows.withColumn(link, F.when(some & (F.size(weak) > 0), order_hash(F.col(t))))
     parts = rows.where(F.col(link).isNotNull()).groupBy(F.col(link).alias("tl_key")).agg(F.first(access).alias("tl_strong"), F.first(weak).alias("tl_weak"))
-    added = linked(saved(parts), scope)
+    added = linked(saved(parts), scope, whole)
     # texts without links keep away from each other: their place in the shuffle is a hash that matches nothing
     rows = rows.withColumn(place, F.coalesce(link, F.concat(F.lit("-"), order_hash(F.col(key), F.xxhash64(t))))).drop(t, link, weak)
     names = docs.columns
