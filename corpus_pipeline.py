@@ -16,9 +16,13 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return queries.rated_quality(spark, docs, sf_dir).where("predicted = 1").select(*docs.columns)
 
 
+#: Near copies: texts whose sets of so many words in a row are alike to so many hundredths.
+WORDS, PERCENT = 5, 80
+
+
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near copies: the one with the smallest id."""
-    return jaccard.one_of_each(docs, saved(jaccard.jaccard_components(docs.select("doc_id", "text")))).select(*docs.columns)
+    return jaccard.one_of_each(docs, saved(jaccard.jaccard_components(docs.select("doc_id", "text"), words=WORDS, percent=PERCENT))).select(*docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

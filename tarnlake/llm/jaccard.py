@@ -62,11 +62,12 @@ def shingles(data: np.ndarray, edges: np.ndarray, words: int = WORDS) -> tuple[n
 
 def bands(most: int, percent: int = PERCENT) -> np.ndarray:
     """Rows of smallest and largest size, allowed difference and parts to spare, for sizes up to `most` and beyond."""
+    room = 25 if percent >= PERCENT else 6  # a lower percent has more parts, so more are empty; without room sets sign again
     out, lo = [], 1
     while lo <= most:
         hi = max(lo, int(lo * WIDTH))
         k = 2 * (100 - percent) * hi // (100 + percent)
-        out.append((lo, hi, k, (k + 1) // 25 + (k >= 4)))
+        out.append((lo, hi, k, (k + 1) // room + (k >= 4)))
         lo = hi + 1
     return np.array(out, np.int64).reshape(-1, 4)
 

@@ -153,6 +153,21 @@ def test_similar_sets_share_a_signature():
             assert sum(int(x).bit_count() for x in (s[0] ^ s[1]).view(np.uint64)) <= larger - size + 2 * lost
 
 
+def test_similar_sets_share_a_signature_at_80():
+    rng = np.random.default_rng(2)
+    total = several = 0
+    for size in (4, 5, 9, 33, 51, 101, 200, 412, 1500):
+        for _ in range(25):
+            base = rng.integers(1, 2**63, size, dtype=np.uint64)
+            lost = size // 9  # size - lost of size + lost in common: 0.8 at least
+            other = np.concatenate([base[lost:], rng.integers(1, 2**63, lost, dtype=np.uint64)])
+            assert 100 * (size - lost) >= 80 * (size + lost)
+            sig, owner = jaccard.signatures(np.concatenate([np.sort(base), np.sort(other)]), np.array([size, size]), 80)
+            assert np.intersect1d(sig[owner == 0], sig[owner == 1]).size
+            total, several = total + 2 * size, several + len(sig)
+    assert several < total  # one set of signatures in each band, nearly always
+
+
 def test_signatures_without_tries_sign_empty_parts(monkeypatch):
     monkeypatch.setattr(jaccard, "TRIES", 1)
     test_similar_sets_share_a_signature()

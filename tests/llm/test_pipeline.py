@@ -57,6 +57,14 @@ def test_one_of_each_group_stays(steps):
     assert sorted(r["doc_id"] for r in after.collect()) == sorted(set(least.values()))
 
 
+def test_near_copies_are_of_five_words(spark):
+    words = [f"w{i}" for i in range(200)]
+    other = [f"x{i}" if i in (20, 70, 120, 170) else w for i, w in enumerate(words)]  # 176 of 216 five-word runs, 181 of 213 of four words
+    rows = [(i, " ".join(t), "en", "a", 0) for i, t in enumerate((words, other))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert [r["doc_id"] for r in corpus_pipeline.keep_distinct(spark, docs, SF).collect()] == [0]
+
+
 def test_secrets_are_masked(steps):
     _, before, after = steps[2]
     assert before.count() == after.count()
