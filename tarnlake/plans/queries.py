@@ -293,8 +293,8 @@ def outline_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered()
 def code_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as Python sources: each a class whose docstring is the text's head."""
-    said = F.regexp_replace(F.substring(F.coalesce("text", F.lit("")), 1, 300), r'[\\"\r\n]', " ")
+    """Documents as Python sources: each a class whose docstring is the whole text."""
+    said = F.regexp_replace(F.coalesce("text", F.lit("")), r'[\\"\r\n]', " ")
     source = F.concat(F.lit("import os\n\n# about\nclass Doc:\n    '''"), F.replace(said, F.lit("'"), F.lit(" ")), F.lit("'''\n\n    def size(self):\n        return "), F.col("n_chars").cast("string"), F.lit("\n"))
     files = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), source.alias("text"))
     return chunking.chunked(files, "code")

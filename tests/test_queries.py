@@ -31,6 +31,13 @@ def test_query_is_its_sql(spark, duck, name):
     assert plain(got.select(*columns).collect()) == plain(want) and want
 
 
+def test_code_chunks_hold_whole_texts(spark, tmp_path):
+    text = " ".join(f"word{i}" for i in range(800))
+    spark.createDataFrame([(1, text, len(text))], "doc_id long, text string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    labels = [r["label"] for r in Q.code_chunks(spark, str(tmp_path)).collect()]
+    assert any("[#2]" in x for x in labels) and all(any(f"word{i}" in x.split() for x in labels) for i in range(790))
+
+
 def test_entry(spark):
     import __spark_entry__
 
