@@ -17,7 +17,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Each half-round joins the links to the smallest neighbour of one end, an aggregate with one row for each node; so a
     hub's links are never gathered. Links are written to the shared folder between rounds and never come to the driver,
-    which sees one checksum a round. Repeated links and links to oneself change nothing; no links give no rows.
+    which sees one checksum a round. Repeated links and links to oneself change nothing; no links give no rows. The
+    result is a saved table, which the caller may drop.
     """
     edges = saved(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
     width = edges.count() // ROWS + 1  # star steps don't add links, so the first count bounds all rounds
@@ -36,4 +37,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if mark == seen:
             break
         seen = mark
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    ends = edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out = saved(ends, width)
+    dropped(edges)
+    return out

@@ -1,35 +1,47 @@
 """Jaccard join over word shingles by PartEnum signatures, and the components of its links.
 
-Sets of similar size share a band. Within a band, the hashed domain is cut into so many parts that two sets which differ
-in no more elements than the threshold allows must agree wholly in some part; a set's elements in one part make one
-signature. Sets with a common signature are candidates. Candidates pass exact bounds (sizes, and a parity sketch, whose
-differing bits never outnumber the differing elements), then whole sets are compared.
-
-Parts that are empty in both sets say nothing. A band therefore has some parts to spare: a set with no more empty parts
-than that needs no signature for them. Sets with more sign again under another hash; two sets that both have too many
-meet there, and those that still have too many after the last hash sign their empty parts.
+Sets of similar size share a band, in which two sets that link differ in at most k elements. Signatures are made on two
+levels. The hashed domain is cut into parts, so many that two such sets differ in at most `d` elements in some of them;
+each part is cut again into `m` smaller ones, and all subsets of m - d of these are enumerated: some subset holds none
+of the differences. What a set has in a subset makes one signature, so sets that link share one, and sets with one in
+common are candidates, whose whole sets are compared.
+
+A subset in which a set has nothing says nothing. There are therefore some parts to spare: a set with no more parts than
+that in which a subset is empty needs no signature for it. Sets with more sign again under another hash; two sets that
+both have too many meet there, and those that still have too many after the last hash sign their empty subsets.
+
+A group (the sets with one signature) is paired along its order, which is linear. Of groups that hold several components
+then, small ones are paired whole; the sets of large ones sign again on the next level, where subsets hold more elements.
+What is in large groups on the last level still is compared in blocks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
+from itertools import combinations
+from math import comb, erf, exp, sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnlake.llm.arrowtext import LOWER, WHITE, Hasher, flat, mixed, pieces, runs
 from tarnlake.llm.graph import components
-from tarnlake.llm.store import dropped, fresh, saved
+from tarnlake.llm.store import Scratch, fresh, saved
 
 #: Two sets link if 100 * common >= PERCENT * union.
 WORDS, PERCENT = 4, 85
 #: Largest size of a band by its smallest; hashes that a set may sign under.
-WIDTH, TRIES = 1.5, 8
-#: Turns in which sets meet another neighbour of their group, before all pairs across components are tried.
-TURNS = 3
+WIDTH, TRIES = 1.35, 8
+#: (d, m) by the number of differences allowed, up to three: one part, cut so that subsets hold half of it or more.
+FEW = ((0, 1), (1, 3), (2, 5), (3, 6))
+#: (d, m) beyond that, by level: up to MEDIUM differences, and for larger sets, whose signatures are many.
+MEDIUM = 12
+CUTS = (((2, 4), (1, 3)), ((2, 6), (2, 6)), ((3, 8), (3, 8)))
+#: Sets of a group whose pairs are all tried; sets of a block.
+SMALL, BLOCK = 48, 512
 #: Words of 64 bits in a set's sketch.
 SKETCH = 16
 #: Set keys that a task remembers at most, so as not to sign one set again and again.
@@ -60,62 +72,81 @@ def shingles(data: np.ndarray, edges: np.ndarray, words: int = WORDS) -> tuple[n
     return h[keep], np.bincount(np.repeat(np.arange(len(per)), count)[keep], minlength=len(per))
 
 
-def bands(most: int, percent: int = PERCENT) -> np.ndarray:
-    """Rows of smallest and largest size, allowed difference and parts to spare, for sizes up to `most` and beyond."""
-    room = 25 if percent >= PERCENT else 6  # a lower percent has more parts, so more are empty; without room sets sign again
+@lru_cache(None)
+def _spare(n: int, parts: int, d: int, m: int) -> int:
+    """How many parts to add, so that sets of `n` elements make the fewest signatures, signing again counted."""
+    best, e = (float("inf"), 0), 0
+    while e <= 2 * parts + 2:
+        all_ = parts + e
+        empty = exp(-n / (all_ * m))
+        p = sum(comb(m, i) * empty**i * (1 - empty) ** (m - i) for i in range(m - d, m + 1))
+        if all_ < 60:
+            enough = sum(comb(all_, i) * p**i * (1 - p) ** (all_ - i) for i in range(e + 1))
+        else:
+            enough = 0.5 * (1 + erf((e + 0.5 - p * all_) / sqrt(2 * max(p * (1 - p) * all_, 1e-9))))
+        best = min(best, (all_ / max(enough, 1e-3), e))
+        e += 1 + e // 8
+    return best[1]
+
+
+@lru_cache(None)
+def _band(lo: int, percent: int, level: int) -> tuple[int, ...]:
+    hi = max(lo, int(lo * WIDTH))
+    k = 2 * (100 - percent) * hi // (100 + percent)
+    if k < len(FEW):
+        return lo, hi, k, *FEW[k], 1, 0
+    d, m = CUTS[level][k > MEDIUM]
+    parts = k // (d + 1) + 1
+    return lo, hi, k, d, m, parts, _spare(-(-lo * percent // 100), parts, d, m)  # smaller sets sign in a band, too
+
+
+def bands(most: int, percent: int = PERCENT, level: int = 0) -> np.ndarray:
+    """Rows of smallest and largest size, allowed differences, d, m, parts and parts to spare, for sizes up to `most`."""
     out, lo = [], 1
     while lo <= most:
-        hi = max(lo, int(lo * WIDTH))
-        k = 2 * (100 - percent) * hi // (100 + percent)
-        out.append((lo, hi, k, (k + 1) // room + (k >= 4)))
-        lo = hi + 1
-    return np.array(out, np.int64).reshape(-1, 4)
-
-
-def signatures(h: np.ndarray, n: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of sets given like shingles() does, and the set each belongs to."""
-    table = bands(int(n.max(initial=0)) * 100 // percent + 1, percent)
-    home = np.searchsorted(table[:, 0], n, "right") - 1
-    jobs = [np.stack([np.flatnonzero(n > 0), home[n > 0]], 1)]
-    up = np.flatnonzero((n > 0) & (home + 1 < len(table)))
-    up = up[table[home[up] + 1, 0] <= n[up] * 100 // percent]  # may link to a larger set of the next band
-    jobs.append(np.stack([up, home[up] + 1], 1))
-    todo = np.concatenate(jobs)
+        out.append(_band(lo, percent, level))
+        lo = out[-1][1] + 1
+    return np.array(out, np.int64).reshape(-1, 7)
+
+
+def signatures(h: np.ndarray, n: np.ndarray, percent: int = PERCENT, level: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures (48 bits) of sets given like shingles() does, and the set each belongs to."""
+    table = bands(int(n.max(initial=0)) * 100 // percent + 1, percent, level)
+    some = np.flatnonzero(n > 0)
+    home = np.searchsorted(table[:, 0], n[some], "right") - 1
+    up = home + 1 < len(table)
+    up[up] = table[home[up] + 1, 0] <= n[some[up]] * 100 // percent  # may link to a larger set of the next band
+    todo = np.stack([np.append(some, some[up]), np.append(home, home[up] + 1)], 1)
     begin = np.cumsum(n) - n
-    found, owner = [], []
+    found, owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for turn in range(TRIES):
+        left = [todo[:0]]
+        for d, m in {(int(x), int(y)) for x, y in table[np.unique(todo[:, 1]), 3:5]}:
+            s, band = (job := todo[(table[todo[:, 1], 3] == d) & (table[todo[:, 1], 4] == m)]).T
+            parts, size = table[band, 5] + table[band, 6], n[s]
+            at = np.repeat(begin[s] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            x = mixed(h[at] + np.uint64((turn + 1 + 100 * level) * int(_K) % 2**64))
+            part = ((x >> np.uint64(32)) * np.repeat(parts * m, size).astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+            base = np.cumsum(parts) - parts
+            rows = int(parts.sum())
+            slot, y = np.repeat(base * m, size) + part, mixed(x)
+            halves = [np.bincount(slot, z.astype(float), rows * m).astype(np.uint64) for z in (y & np.uint64(0xFFFFFFFF), y >> np.uint64(32))]  # below 2^53: exact
+            total = (halves[0] + halves[1] * _K).reshape(rows, m)
+            held = (np.bincount(slot, minlength=rows * m) > 0).reshape(rows, m)
+            of = np.repeat(np.arange(len(job)), parts)
+            place = (band[of].astype(np.uint64) << np.uint64(40)) + ((np.arange(rows) - base[of]).astype(np.uint64) << np.uint64(16)) + np.uint64(turn)
+            bad = held.sum(1) <= d
+            over = np.bincount(of, bad, len(job)) > table[band, 6]
+            gaps = over[of] if turn == TRIES - 1 else np.zeros(rows, bool)
+            for i, subset in enumerate(combinations(range(m), m - d)):
+                on = held[:, subset].any(1) | gaps
+                sig = mixed(total[:, subset].sum(1, dtype=np.uint64) + mixed((place + np.uint64(i << 8)) * _K))
+                found.append(sig[on] >> np.uint64(16))
+                owner.append(s[of[on]])
+            left.append(job[over])
+        todo = np.concatenate(left)
         if not len(todo):
             break
-        s, band = todo[:, 0], todo[:, 1]
-        parts = table[band, 2] + 1 + table[band, 3]
-        size = n[s]
-        at = np.repeat(begin[s] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        x = mixed(h[at] + np.uint64((turn + 1) * int(_K) % 2**64))
-        part = ((x >> np.uint64(32)) * np.repeat(parts, size).astype(np.uint64) >> np.uint64(32)).astype(np.int64)
-        base = np.cumsum(parts) - parts
-        slot = np.repeat(base, size) + part
-        order = np.argsort(slot, kind="stable")
-        slot = slot[order]
-        heads = np.flatnonzero(np.append(True, slot[1:] != slot[:-1]))
-        total = np.add.reduceat(mixed(x[order]), heads)
-        filled = slot[heads]
-        job = np.repeat(np.arange(len(todo)), parts)
-        empty = parts - np.bincount(job[filled], minlength=len(todo))
-        label = (band[job[filled]].astype(np.uint64) << np.uint64(40)) + ((filled - base[job[filled]]).astype(np.uint64) << np.uint64(8)) + np.uint64(turn)
-        found.append(mixed(total + mixed(label * _K)))
-        owner.append(s[job[filled]])
-        over = empty > table[band, 3]
-        if turn == TRIES - 1 and over.any():
-            none = np.ones(len(job), bool)
-            none[filled] = False
-            none &= over[job]
-            gaps = np.flatnonzero(none)
-            label = (band[job[gaps]].astype(np.uint64) << np.uint64(40)) + ((gaps - base[job[gaps]]).astype(np.uint64) << np.uint64(8)) + np.uint64(255)
-            found.append(mixed(mixed(label * _K)))
-            owner.append(s[job[gaps]])
-        todo = todo[over]
-    if not found:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     return np.concatenate(found), np.concatenate(owner)
 
 
@@ -140,85 +171,181 @@ def set_keys(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 _PARITIES = [f"s{i}" for i in range(SKETCH)]
-_SETS = f"id long, n long, lo long, hi long, {', '.join(f'{s} long' for s in _PARITIES)}, sigs array<long>"
 
 
-def _sets(words: int, percent: int):
+def _keyed(words: int):
+    """id, n, lo, hi: size and key of each row's set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch, "text"):
+                h, n = shingles(*flat(piece.column(1)), words)
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(n), *map(pa.array, set_keys(h, n))], names=["id", "n", "lo", "hi"])
+
+    return run
+
+
+def _signed(words: int, percent: int, level: int):
+    """sig, lo: the signatures of each row's set, of equal sets in a task as a rule once."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             for piece in pieces(batch, "text"):
                 h, n = shingles(*flat(piece.column(1)), words)
-                lo, hi = set_keys(h, n)
+                lo, _ = set_keys(h, n)
                 new = np.zeros(len(n), bool)
-                for i, k in enumerate(lo.tolist()):
-                    if n[i] and k not in seen:
+                for i in np.flatnonzero(n > 0).tolist():
+                    if (k := int(lo[i])) not in seen:
                         new[i] = True
                         seen.add(k)
                 if len(seen) > REMEMBERED:
                     seen.clear()
-                sig, owner = signatures(h[np.repeat(new, n)], n[new], percent)
+                sig, owner = signatures(h[np.repeat(new, n)], n[new], percent, level)
                 order = np.argsort(owner, kind="stable")
-                per = np.zeros(len(n), np.int64)
-                per[new] = np.bincount(owner, minlength=int(new.sum()))
-                arrays = [piece.column(0), pa.array(n), pa.array(lo), pa.array(hi), *map(pa.array, sketches(h, n).T.copy())]
-                arrays.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per)]), pa.int32()), pa.array(sig[order].view(np.int64))))
-                yield pa.RecordBatch.from_arrays(arrays, names=["id", "n", "lo", "hi", *_PARITIES, "sigs"])
+                yield pa.RecordBatch.from_arrays([pa.array(sig[order].view(np.int64)), pa.array(lo[new][owner[order]])], names=["sig", "lo"])
 
     return run
 
 
-def _hashes(words: int):
+def _hashed(words: int, sketched: bool = False):
+    """node, h (and the sketch) of rows whose set has the key `id`: an id may stand at several texts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch, "text"):
                 h, n = shingles(*flat(piece.column(1)), words)
                 lo, _ = set_keys(h, n)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(h.view(np.int64)))
                 same = pa.array(lo == piece.column(0).to_numpy(zero_copy_only=False))
-                yield pa.RecordBatch.from_arrays([piece.column(0), lists], names=["node", "h"]).filter(same)
+                if sketched:
+                    arrays, names = [pa.array(n), *map(pa.array, sketches(h, n).T.copy())], ["n", *_PARITIES]
+                else:
+                    arrays, names = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(h.view(np.int64)))], ["h"]
+                yield pa.RecordBatch.from_arrays([piece.column(0), *arrays], names=["node", *names]).filter(same)
 
     return run
 
 
-def _bounded(pairs: DataFrame, percent: int) -> DataFrame:
-    """Pairs (with n and sketch of both) that sizes and sketches leave possible."""
-    allowed = F.floor((100 - percent) * (F.col("n_a") + F.col("n_b")) / (100 + percent))
-    differ = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{s}_a").bitwiseXOR(F.col(f"{s}_b"))) for s in _PARITIES])
-    return pairs.where((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (differ <= allowed))
-
-
-def _as(df: DataFrame, end: str, node: str = "lo") -> DataFrame:
-    return df.select(F.col(node).alias(end), F.col("n").alias(f"n_{end}"), *[F.col(s).alias(f"{s}_{end}") for s in _PARITIES])
-
-
-def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Of pairs (a, b) of set keys, those whose whole sets link. Only texts of sets in a pair are read into sets again."""
-    nodes = pairs.select(F.col("a").alias("lo")).union(pairs.select(F.col("b").alias("lo"))).distinct()
-    wanted = saved(nodes.join(classes, "lo").select("lo", F.col("rep").alias("id")))  # written, so its size decides how it is joined
-    sets = texts.join(wanted, "id").select("lo", "text").mapInArrow(_hashes(words), "node long, h array<long>")
-    sets = saved(sets.dropDuplicates(["node"]))
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("h").alias("ha")), "a").join(sets.select(F.col("node").alias("b"), F.col("h").alias("hb")), "b")
-    common = F.size(F.array_intersect("ha", "hb"))
-    out = saved(both.where(100 * common >= percent * (F.size("ha") + F.size("hb") - common)).select("a", "b"))
-    dropped(sets)
-    return out
-
-
-def _in_parts(members: DataFrame, parts: DataFrame) -> DataFrame:
-    return members.join(parts, F.col("lo") == F.col("node"), "left").select("sig", "lo", F.coalesce("component", "lo").alias("part"))
-
-
-def _merged(parts: DataFrame, links: DataFrame) -> DataFrame:
-    """Components (node, component) after further links: those links make a small graph between components."""
-    up = parts.select(F.col("node").alias("below"), F.col("component").alias("above"))
-    ends = links
-    for end in ("a", "b"):
-        ends = ends.join(up, F.col(end) == F.col("below"), "left").withColumn(end, F.coalesce("above", end)).drop("below", "above")
-    whole = saved(components(ends)).select(F.col("node").alias("first"), F.col("component").alias("whole"))
-    alone = links.select(F.col("a").alias("node")).union(links.select("b")).distinct().join(parts, "node", "left_anti")
-    known = parts.select("node", "component").union(alone.select("node", F.col("node").alias("component")))
-    return saved(known.join(whole, F.col("component") == F.col("first"), "left").select("node", F.coalesce("whole", "component").alias("component")))
+class _Join:
+    """One run of the join: the texts, the classes of equal sets, and the components found so far."""
+
+    def __init__(self, texts: DataFrame, words: int, percent: int):
+        self.texts, self.words, self.percent, self.scratch = texts, words, percent, Scratch()
+        self.rows = self.scratch(texts.mapInArrow(_keyed(words), "id long, n long, lo long, hi long"))
+        self.classes = self.scratch(self.rows.where("n > 0 and id is not null").groupBy("lo", "hi").agg(F.min("id").alias("rep"), F.first("n").alias("n")))
+        self.tried = self.parts = None
+
+    def texts_of(self, nodes: DataFrame) -> DataFrame:
+        """lo, text of sets (node); `nodes` is written, so that its size decides how the texts are joined."""
+        wanted = self.scratch(nodes.join(self.classes, F.col("node") == F.col("lo")).select("lo", F.col("rep").alias("id")))
+        return self.texts.join(wanted, "id").select("lo", "text")
+
+    def members(self, level: int, nodes: DataFrame | None = None) -> DataFrame:
+        """sig, lo, prev (the set before in the group) of the groups with two sets or more, each set once."""
+        texts = self.texts.where("id is not null").select("id", "text") if nodes is None else self.texts_of(nodes)
+        signed = texts.mapInArrow(_signed(self.words, self.percent, level), "sig long, lo long")
+        group = Window.partitionBy("sig").orderBy("lo")
+        grouped = signed.select("sig", "lo", F.lag("lo").over(group).alias("prev"), F.lead("lo").over(group).alias("next"))
+        return self.scratch(grouped.where("(prev is null or prev <> lo) and (prev is not null or next is not null)").select("sig", "lo", "prev"))
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """Of pairs (a, b) of set keys, those whose whole sets link. Only texts of sets in a pair are read into sets again."""
+        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        sets = self.texts_of(nodes).mapInArrow(_hashed(self.words), "node long, h array<long>")
+        sets = self.scratch(sets.dropDuplicates(["node"]))
+        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("h").alias("ha")), "a").join(sets.select(F.col("node").alias("b"), F.col("h").alias("hb")), "b")
+        common = F.size(F.array_intersect("ha", "hb"))
+        return self.scratch(both.where(100 * common >= self.percent * (F.size("ha") + F.size("hb") - common)).select("a", "b"))
+
+    def sized(self, pairs: DataFrame) -> DataFrame:
+        """Pairs (each once) whose sizes leave a link possible."""
+        for end in ("a", "b"):
+            pairs = pairs.join(self.classes.select(F.col("lo").alias(end), F.col("n").alias(f"n_{end}")).dropDuplicates([end]), end)
+        return pairs.where(100 * F.least("n_a", "n_b") >= self.percent * F.greatest("n_a", "n_b")).select("a", "b")
+
+    def link(self, pairs: DataFrame) -> None:
+        """Verifies pairs (a < b) that haven't been yet, and joins the components of those that link."""
+        pairs = pairs.distinct()
+        if self.tried is not None:
+            pairs = pairs.join(self.tried, ["a", "b"], "left_anti")
+        pairs = self.scratch(self.sized(pairs))
+        if self.tried is not None and pairs.isEmpty():
+            return
+        links = self.verified(pairs)
+        self.tried = pairs if self.tried is None else self.scratch(self.tried.union(pairs))
+        if self.parts is None:
+            self.parts = components(links)
+        else:
+            self.parts = self.merged(links)
+        self.scratch.tables.append(self.parts)
+
+    def merged(self, links: DataFrame) -> DataFrame:
+        """Components (node, component) after further links: those links make a small graph between components."""
+        up = self.parts.select(F.col("node").alias("below"), F.col("component").alias("above"))
+        ends = links
+        for end in ("a", "b"):
+            ends = ends.join(up, F.col(end) == F.col("below"), "left").withColumn(end, F.coalesce("above", end)).drop("below", "above")
+        found = components(ends)
+        self.scratch.tables.append(found)
+        whole = found.select(F.col("node").alias("first"), F.col("component").alias("whole"))
+        alone = links.select(F.col("a").alias("node")).union(links.select("b")).distinct().join(self.parts, "node", "left_anti")
+        known = self.parts.select("node", "component").union(alone.select("node", F.col("node").alias("component")))
+        return saved(known.join(whole, F.col("component") == F.col("first"), "left").select("node", F.coalesce("whole", "component").alias("component")))
+
+    def open(self, members: DataFrame) -> DataFrame:
+        """sig, lo, part, many (sets of the group) of the groups that hold several components."""
+        placed = members.join(self.parts, F.col("lo") == F.col("node"), "left").select("sig", "lo", F.coalesce("component", "lo").alias("part"))
+        several = placed.groupBy("sig").agg(F.count(F.lit(1)).alias("many"), F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("sig", "many")
+        return self.scratch(placed.join(several, "sig"))
+
+    def level(self, level: int, nodes: DataFrame | None = None) -> DataFrame:
+        """Finds links on one level, and returns the members of the large groups that are open still."""
+        members = self.members(level, nodes)
+        self.link(members.where("prev is not null").select(F.col("prev").alias("a"), F.col("lo").alias("b")))
+        rest = self.open(members.select("sig", "lo"))
+        small = rest.where(F.col("many") <= SMALL)
+        one, two = (small.select("sig", F.col("part").alias(f"part_{end}"), F.col("lo").alias(end)) for end in "ab")
+        self.link(one.join(two, "sig").where("a < b and part_a <> part_b").select("a", "b"))
+        return self.open(rest.where(F.col("many") > SMALL).select("sig", "lo"))
+
+    def blocks(self, rest: DataFrame) -> None:
+        """Compares what large groups hold in blocks: each set meets each block of its group, and a pair comes out only
+        if sizes and sketches (whose differing bits never outnumber the differing elements) leave a link possible."""
+        nodes = rest.select(F.col("lo").alias("node")).distinct()
+        schema = f"node long, n long, {', '.join(f'{s} long' for s in _PARITIES)}"
+        known = self.scratch(self.texts_of(nodes).mapInArrow(_hashed(self.words, True), schema).dropDuplicates(["node"]))
+        number = F.ceil(F.col("many") / BLOCK).cast("int")
+        block = F.pmod(F.xxhash64("lo"), number).cast("int")
+        held = rest.withColumn("blocks", number).withColumn("block", block).join(known, F.col("lo") == F.col("node"))
+
+        def side(end: str, first: Column, second: Column) -> DataFrame:
+            cells = held.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+            return cells.select("sig", first.alias("p"), second.alias("q"), F.col("part").alias(f"part_{end}"), F.col("lo").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in ("n", *_PARITIES)])
+
+        one, two = side("a", F.col("block"), F.col("other")), side("b", F.col("other"), F.col("block"))
+        allowed = F.floor((100 - self.percent) * (F.col("n_a") + F.col("n_b")) / (100 + self.percent))
+        differ = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{s}_a").bitwiseXOR(F.col(f"{s}_b"))) for s in _PARITIES])
+        may = (100 * F.least("n_a", "n_b") >= self.percent * F.greatest("n_a", "n_b")) & (differ <= allowed)
+        self.link(one.join(two, ["sig", "p", "q"]).where((F.col("a") < F.col("b")) & (F.col("part_a") != F.col("part_b")) & may).select("a", "b"))
+
+    def run(self) -> DataFrame:
+        """id, n, component_id of all rows."""
+        rest = self.level(0)
+        for level in range(1, len(CUTS)):
+            if rest.isEmpty():
+                break
+            rest = self.level(level, rest.select(F.col("lo").alias("node")).distinct())
+        if not rest.isEmpty():
+            self.blocks(rest)
+        named = self.classes.join(self.parts, F.col("lo") == F.col("node"), "left").withColumn("part", F.coalesce("component", "lo"))
+        named = named.withColumn("tl_hi", F.when(F.col("component").isNull(), F.col("hi")))  # sets with one half key in common, unlinked
+        least = named.groupBy(F.col("part").alias("of_part"), F.col("tl_hi").alias("of_hi")).agg(F.min("rep").alias("component_id"))
+        named = named.join(least, (F.col("part") == F.col("of_part")) & F.col("tl_hi").eqNullSafe(F.col("of_hi"))).select("lo", "hi", "component_id")
+        some = self.rows.where("n > 0 and id is not null").join(named, ["lo", "hi"]).select("id", "n", "component_id")
+        none = self.rows.where("n = 0 or id is null").select("id", "n", F.col("id").alias("component_id"))
+        out = saved(some.union(none))
+        self.scratch.clear()
+        return out
 
 
 def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -227,56 +354,16 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
     Equal sets are one class, and links are looked for between classes only, so copies aren't expanded into pairs. Rows
     whose text is null, empty or white space have no shingles and link with nothing: component_id is their own key. Rows
     without a key (null) take no part and have no component. Repeated keys are rows of one document if their texts are
-    equal; otherwise they are tied only by the id. Long texts are taken whole. An empty table gives an empty one.
+    equal; otherwise they are tied only by the id. Long texts are taken whole. An empty table gives an empty one. Only
+    `text` and `key` are read, so other columns and their names don't matter.
 
-    Candidates in a signature's group are found in steps. First each set is paired with the next one of the group, which
-    is linear in the group; links found make components. A few turns do the same in another order, for neighbours in
-    different components. Then all pairs whose members still are in different components are tried, so no link that
-    could join two components is lost; pairs within one component are never formed.
+    No link that could join two components is lost: two sets that link share a group on every level on which both sign.
+    Either all pairs of that group across components are tried, or both sign on the next level, or are compared in
+    blocks after the last one. Pairs within a component aren't formed in small groups, nor come out of blocks.
     """
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    first = saved(texts.mapInArrow(_sets(words, percent), _SETS))
-    signed = first.where("size(sigs) > 0").select(F.explode("sigs").alias("sig"), "lo")
-    group = Window.partitionBy("sig").orderBy("lo")
-    grouped = signed.select("sig", "lo", F.lag("lo").over(group).alias("prev"), F.lead("lo").over(group).alias("next"))
-    grouped = saved(grouped.where("prev <> lo or next <> lo").select("sig", "lo", "prev"))
-    rows = saved(first.drop("sigs"))
-    dropped(first)
-    classes = saved(rows.where("n > 0 and id is not null").groupBy("lo", "hi").agg(F.min("id").alias("rep"), *[F.first(c).alias(c) for c in ("n", *_PARITIES)]))
-
-    tried = grouped.where("prev <> lo").select(F.col("prev").alias("a"), F.col("lo").alias("b")).distinct()
-    tried = saved(_bounded(tried.join(_as(classes, "a"), "a").join(_as(classes, "b"), "b"), percent).select("a", "b"))
-    links = _verified(tried, classes, texts, words, percent)
-    parts = saved(components(links))
-    members = saved(grouped.select("sig", "lo").distinct())
-    for turn in range(TURNS):  # other neighbours in each turn, and only such as are in another component
-        order = Window.partitionBy("sig").orderBy(F.xxhash64("lo", F.lit(turn)), "lo")
-        placed = _in_parts(members, parts).select(F.lag("lo").over(order).alias("x"), F.col("lo").alias("y"), F.lag("part").over(order).alias("px"), F.col("part").alias("py"))
-        pairs = placed.where("px <> py").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        pairs = _bounded(pairs.join(_as(classes, "a"), "a").join(_as(classes, "b"), "b"), percent).select("a", "b")
-        pairs = saved(pairs.join(tried, ["a", "b"], "left_anti"))
-        if pairs.isEmpty():
-            break
-        tried, parts = saved(tried.union(pairs)), _merged(parts, _verified(pairs, classes, texts, words, percent))
-
-    held = saved(_in_parts(members, parts).join(classes, "lo").select("sig", "lo", "part", "n", *_PARITIES))
-    open_ = held.groupBy("sig").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("sig")
-    held_open = held.join(open_, "sig", "left_semi")
-    one = held_open.select("sig", F.col("part").alias("part_a"), F.col("lo").alias("a"), *[F.col(c).alias(f"{c}_a") for c in ("n", *_PARITIES)])
-    two = held_open.select("sig", F.col("part").alias("part_b"), F.col("lo").alias("b"), *[F.col(c).alias(f"{c}_b") for c in ("n", *_PARITIES)])
-    rest = _bounded(one.join(two, "sig").where("a < b and part_a <> part_b"), percent).select("a", "b").distinct()
-    rest = saved(rest.join(tried, ["a", "b"], "left_anti"))
-    more = _verified(rest, classes, texts, words, percent)
-    parts = _merged(parts, more)
-    named = classes.join(parts, F.col("lo") == F.col("node"), "left").withColumn("part", F.coalesce("component", "lo"))
-    named = named.withColumn("tl_hi", F.when(F.col("component").isNull(), F.col("hi")))  # sets with one half key in common, unlinked
-    least = named.groupBy(F.col("part").alias("of_part"), F.col("tl_hi").alias("of_hi")).agg(F.min("rep").alias("component_id"))
-    named = named.join(least, (F.col("part") == F.col("of_part")) & F.col("tl_hi").eqNullSafe(F.col("of_hi"))).select("lo", "hi", "component_id")
-    some = rows.where("n > 0 and id is not null").join(named, ["lo", "hi"]).select("id", "n", "component_id")
-    none = rows.where("n = 0 or id is null").select("id", "n", F.col("id").alias("component_id"))
-    out = some.union(none).select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id")
-    dropped(grouped, tried, held, rest)
-    return out
+    out = _Join(texts, words, percent).run()
+    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id")
 
 
 def one_of_each(docs: DataFrame, joined: DataFrame, key: str = "doc_id") -> DataFrame:

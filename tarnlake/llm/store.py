@@ -10,9 +10,11 @@ from pyspark.sql.types import DataType, StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir. Only where that is unset (tests on one machine) a temporary one is made."""
+    """The folder of spark.checkpoint.dir. Where that is unset, a temporary one on one machine; an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tarnlake-")
         spark.sparkContext.setCheckpointDir(found)
         found = spark.sparkContext.getCheckpointDir()
@@ -42,6 +44,21 @@ def dropped(*tables: DataFrame | None) -> None:
             df._tarnlake_path = None
 
 
+class Scratch:
+    """Tables of one operator's run, deleted together when it is done with them."""
+
+    def __init__(self):
+        self.tables: list[DataFrame] = []
+
+    def __call__(self, df: DataFrame, width: int | None = None) -> DataFrame:
+        self.tables.append(saved(df, width))
+        return self.tables[-1]
+
+    def clear(self) -> None:
+        dropped(*self.tables)
+        self.tables = []
+
+
 def kind(ddl: str) -> DataType:
     """The type that a DDL string names."""
     return StructType.fromDDL(f"x {ddl}")[0].dataType

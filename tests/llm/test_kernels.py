@@ -148,7 +148,9 @@ def test_similar_sets_share_a_signature():
             other = np.concatenate([base[lost:], rng.integers(1, 2**63, larger - size + lost, dtype=np.uint64)])
             assert 100 * (size - lost) >= 85 * (larger + lost)
             sig, owner = jaccard.signatures(np.concatenate([np.sort(base), np.sort(other)]), np.array([size, larger]))
-            assert np.intersect1d(sig[owner == 0], sig[owner == 1]).size
+            for level in range(len(jaccard.CUTS)):
+                sig, owner = jaccard.signatures(np.concatenate([np.sort(base), np.sort(other)]), np.array([size, larger]), level=level)
+                assert np.intersect1d(sig[owner == 0], sig[owner == 1]).size
             s = jaccard.sketches(np.concatenate([base, other]), np.array([size, larger]))
             assert sum(int(x).bit_count() for x in (s[0] ^ s[1]).view(np.uint64)) <= larger - size + 2 * lost
 
@@ -165,7 +167,17 @@ def test_similar_sets_share_a_signature_at_80():
             sig, owner = jaccard.signatures(np.concatenate([np.sort(base), np.sort(other)]), np.array([size, size]), 80)
             assert np.intersect1d(sig[owner == 0], sig[owner == 1]).size
             total, several = total + 2 * size, several + len(sig)
-    assert several < total  # one set of signatures in each band, nearly always
+    assert several < 2 * total  # one set of signatures in each band, nearly always
+
+
+def test_subsets_are_enumerated():
+    for row in jaccard.bands(5000).tolist():
+        lo, hi, k, d, m, parts, spare = row
+        assert lo <= hi and parts * (d + 1) > k >= (parts - 1) * (d + 1) and (k == 0 or m - d >= 2)
+    h, n = np.sort(np.random.default_rng(5).integers(1, 2**63, 1000, dtype=np.uint64)), np.array([1000])
+    (row,) = [r for r in jaccard.bands(1000).tolist() if r[0] <= 1000 <= r[1]]
+    sig, _ = jaccard.signatures(h, n)
+    assert len(sig) >= 3 * row[5]  # three subsets of two of each part's three
 
 
 def test_signatures_without_tries_sign_empty_parts(monkeypatch):

@@ -292,6 +292,34 @@ def test_jaccard_components(spark, docs, none):
     assert jaccard.jaccard_components(none).count() == 0
 
 
+@pytest.mark.parametrize("small, block", [(48, 512), (3, 4), (1, 2)])
+def test_one_passage_in_every_document(spark, monkeypatch, small, block):
+    """Half of each text is one passage: groups of signatures are large, and hold few links."""
+    monkeypatch.setattr(jaccard, "SMALL", small)
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rng = np.random.default_rng(8)
+    passage = [f"p{i}" for i in range(14)]
+    texts = []
+    for i in range(70):
+        own = [f"w{rng.integers(0, 100_000)}" for _ in range(int(rng.integers(2, 9)))]
+        texts.append(" ".join(passage + own) if i % 2 else " ".join(own + passage))
+        if i % 10 == 0:
+            texts.append(texts[-1] + " more")
+    sets = [_sets(t) for t in texts]
+    least = list(range(len(sets)))
+    while True:
+        before = list(least)
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if 100 * len(a & b) >= 85 * len(a | b):
+                    least[i] = min(least[i], least[j])
+        if before == least:
+            break
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = sorted(map(tuple, jaccard.jaccard_components(frame).collect()))
+    assert got == [(i, len(s), least[i]) for i, s in enumerate(sets)]
+
+
 def test_one_of_each(spark):
     frame = spark.createDataFrame([(1, "a b c d e"), (2, "A b c d e"), (3, "x"), (None, "y"), (4, None)], "doc_id long, text string")
     kept = jaccard.one_of_each(frame, jaccard.jaccard_components(frame))
