@@ -10,9 +10,9 @@ A subset in which a set has nothing says nothing. There are therefore some parts
 that in which a subset is empty needs no signature for it. Sets with more sign again under another hash; two sets that
 both have too many meet there, and those that still have too many after the last hash sign their empty subsets.
 
-A group (the sets with one signature) is paired along its order, which is linear. Of groups that hold several components
-then, small ones are paired whole; the sets of large ones sign again on the next level, where subsets hold more elements.
-What is in large groups on the last level still is compared in blocks.
+Of a group (the sets with one signature) each set is first paired with the first one, which is linear. Groups that hold
+several components then are compared in blocks, large ones spread over many tasks; of a pair of blocks only such pairs
+come out as exact bounds (sizes, and a parity sketch, whose differing bits never outnumber the differing elements) allow.
 """
 
 from __future__ import annotations
@@ -37,13 +37,12 @@ WORDS, PERCENT = 4, 85
 WIDTH, TRIES = 1.35, 8
 #: (d, m) by the number of differences allowed, up to three: one part, cut so that subsets hold half of it or more.
 FEW = ((0, 1), (1, 3), (2, 5), (3, 6))
-#: (d, m) beyond that, by level: up to MEDIUM differences, and for larger sets, whose signatures are many.
-MEDIUM = 12
-CUTS = (((2, 4), (1, 3)), ((2, 6), (2, 6)), ((3, 8), (3, 8)))
-#: Sets of a group whose pairs are all tried; sets of a block.
-SMALL, BLOCK = 48, 512
-#: Words of 64 bits in a set's sketch.
-SKETCH = 16
+#: (d, m) beyond that: up to MEDIUM differences, and for larger sets, whose signatures are many.
+MEDIUM, CUTS = 12, ((2, 4), (1, 3))
+#: Sets of a block.
+BLOCK = 256
+#: Words of 64 bits in a set's sketch, and in its folded form that goes through blocks.
+SKETCH, FOLDED = 16, 4
 #: Set keys that a task remembers at most, so as not to sign one set again and again.
 REMEMBERED = 200_000
 
@@ -90,28 +89,28 @@ def _spare(n: int, parts: int, d: int, m: int) -> int:
 
 
 @lru_cache(None)
-def _band(lo: int, percent: int, level: int) -> tuple[int, ...]:
+def _band(lo: int, percent: int) -> tuple[int, ...]:
     hi = max(lo, int(lo * WIDTH))
     k = 2 * (100 - percent) * hi // (100 + percent)
     if k < len(FEW):
         return lo, hi, k, *FEW[k], 1, 0
-    d, m = CUTS[level][k > MEDIUM]
+    d, m = CUTS[k > MEDIUM]
     parts = k // (d + 1) + 1
     return lo, hi, k, d, m, parts, _spare(-(-lo * percent // 100), parts, d, m)  # smaller sets sign in a band, too
 
 
-def bands(most: int, percent: int = PERCENT, level: int = 0) -> np.ndarray:
+def bands(most: int, percent: int = PERCENT) -> np.ndarray:
     """Rows of smallest and largest size, allowed differences, d, m, parts and parts to spare, for sizes up to `most`."""
     out, lo = [], 1
     while lo <= most:
-        out.append(_band(lo, percent, level))
+        out.append(_band(lo, percent))
         lo = out[-1][1] + 1
     return np.array(out, np.int64).reshape(-1, 7)
 
 
-def signatures(h: np.ndarray, n: np.ndarray, percent: int = PERCENT, level: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def signatures(h: np.ndarray, n: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
     """Signatures (48 bits) of sets given like shingles() does, and the set each belongs to."""
-    table = bands(int(n.max(initial=0)) * 100 // percent + 1, percent, level)
+    table = bands(int(n.max(initial=0)) * 100 // percent + 1, percent)
     some = np.flatnonzero(n > 0)
     home = np.searchsorted(table[:, 0], n[some], "right") - 1
     up = home + 1 < len(table)
@@ -125,7 +124,7 @@ def signatures(h: np.ndarray, n: np.ndarray, percent: int = PERCENT, level: int
             s, band = (job := todo[(table[todo[:, 1], 3] == d) & (table[todo[:, 1], 4] == m)]).T
             parts, size = table[band, 5] + table[band, 6], n[s]
             at = np.repeat(begin[s] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            x = mixed(h[at] + np.uint64((turn + 1 + 100 * level) * int(_K) % 2**64))
+            x = mixed(h[at] + np.uint64((turn + 1) * int(_K) % 2**64))
             part = ((x >> np.uint64(32)) * np.repeat(parts * m, size).astype(np.uint64) >> np.uint64(32)).astype(np.int64)
             base = np.cumsum(parts) - parts
             rows = int(parts.sum())
@@ -171,21 +170,23 @@ def set_keys(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 _PARITIES = [f"s{i}" for i in range(SKETCH)]
+_FOLDS = [f"f{i}" for i in range(FOLDED)]
 
 
 def _keyed(words: int):
-    """id, n, lo, hi: size and key of each row's set."""
+    """id, n, lo, hi and sketch: size and key of each row's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch, "text"):
                 h, n = shingles(*flat(piece.column(1)), words)
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(n), *map(pa.array, set_keys(h, n))], names=["id", "n", "lo", "hi"])
+                arrays = [piece.column(0), pa.array(n), *map(pa.array, set_keys(h, n)), *map(pa.array, sketches(h, n).T.copy())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["id", "n", "lo", "hi", *_PARITIES])
 
     return run
 
 
-def _signed(words: int, percent: int, level: int):
+def _signed(words: int, percent: int):
     """sig, lo: the signatures of each row's set, of equal sets in a task as a rule once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,15 +202,15 @@ def _signed(words: int, percent: int, level: int):
                         seen.add(k)
                 if len(seen) > REMEMBERED:
                     seen.clear()
-                sig, owner = signatures(h[np.repeat(new, n)], n[new], percent, level)
+                sig, owner = signatures(h[np.repeat(new, n)], n[new], percent)
                 order = np.argsort(owner, kind="stable")
                 yield pa.RecordBatch.from_arrays([pa.array(sig[order].view(np.int64)), pa.array(lo[new][owner[order]])], names=["sig", "lo"])
 
     return run
 
 
-def _hashed(words: int, sketched: bool = False):
-    """node, h (and the sketch) of rows whose set has the key `id`: an id may stand at several texts."""
+def _hashed(words: int):
+    """node, h of rows whose set has the key `node`: an id may stand at several texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,66 +218,64 @@ def _hashed(words: int, sketched: bool = False):
                 h, n = shingles(*flat(piece.column(1)), words)
                 lo, _ = set_keys(h, n)
                 same = pa.array(lo == piece.column(0).to_numpy(zero_copy_only=False))
-                if sketched:
-                    arrays, names = [pa.array(n), *map(pa.array, sketches(h, n).T.copy())], ["n", *_PARITIES]
-                else:
-                    arrays, names = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(h.view(np.int64)))], ["h"]
-                yield pa.RecordBatch.from_arrays([piece.column(0), *arrays], names=["node", *names]).filter(same)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(h.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([piece.column(0), lists], names=["node", "h"]).filter(same)
 
     return run
 
 
+def _may_link(percent: int, words: list[str]) -> Column:
+    """Whether sizes and sketches of both sides (columns that end in _a and _b) leave a link possible."""
+    allowed = F.floor((100 - percent) * (F.col("n_a") + F.col("n_b")) / (100 + percent))
+    differ = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{s}_a").bitwiseXOR(F.col(f"{s}_b"))) for s in words])
+    return (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (differ <= allowed)
+
+
+def _ended(df: DataFrame, end: str, *columns: str) -> DataFrame:
+    """`lo` as the column `end`, other columns with _`end` behind their names."""
+    return df.select(F.col("lo").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in columns])
+
+
 class _Join:
     """One run of the join: the texts, the classes of equal sets, and the components found so far."""
 
     def __init__(self, texts: DataFrame, words: int, percent: int):
         self.texts, self.words, self.percent, self.scratch = texts, words, percent, Scratch()
-        self.rows = self.scratch(texts.mapInArrow(_keyed(words), "id long, n long, lo long, hi long"))
-        self.classes = self.scratch(self.rows.where("n > 0 and id is not null").groupBy("lo", "hi").agg(F.min("id").alias("rep"), F.first("n").alias("n")))
+        keyed = texts.mapInArrow(_keyed(words), f"id long, n long, lo long, hi long, {', '.join(f'{s} long' for s in _PARITIES)}")
+        keyed = self.scratch(keyed)
+        self.rows = keyed.select("id", "n", "lo", "hi")
+        self.classes = self.scratch(keyed.where("n > 0 and id is not null").groupBy("lo", "hi").agg(F.min("id").alias("rep"), *[F.first(c).alias(c) for c in ("n", *_PARITIES)]))
         self.tried = self.parts = None
 
-    def texts_of(self, nodes: DataFrame) -> DataFrame:
-        """lo, text of sets (node); `nodes` is written, so that its size decides how the texts are joined."""
-        wanted = self.scratch(nodes.join(self.classes, F.col("node") == F.col("lo")).select("lo", F.col("rep").alias("id")))
-        return self.texts.join(wanted, "id").select("lo", "text")
-
-    def members(self, level: int, nodes: DataFrame | None = None) -> DataFrame:
-        """sig, lo, prev (the set before in the group) of the groups with two sets or more, each set once."""
-        texts = self.texts.where("id is not null").select("id", "text") if nodes is None else self.texts_of(nodes)
-        signed = texts.mapInArrow(_signed(self.words, self.percent, level), "sig long, lo long")
+    def members(self) -> DataFrame:
+        """sig, lo, head (the first set of the group) of the groups with two sets or more, each set once."""
+        signed = self.texts.where("id is not null").select("id", "text").mapInArrow(_signed(self.words, self.percent), "sig long, lo long")
         group = Window.partitionBy("sig").orderBy("lo")
-        grouped = signed.select("sig", "lo", F.lag("lo").over(group).alias("prev"), F.lead("lo").over(group).alias("next"))
-        return self.scratch(grouped.where("(prev is null or prev <> lo) and (prev is not null or next is not null)").select("sig", "lo", "prev"))
+        head = F.first("lo").over(group.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        grouped = signed.select("sig", "lo", head.alias("head"), F.lead("lo").over(group).alias("next"))
+        return self.scratch(grouped.where("(next is null or next <> lo) and (next is not null or head <> lo)").select("sig", "lo", "head"))
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b) of set keys, those whose whole sets link. Only texts of sets in a pair are read into sets again."""
-        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        sets = self.texts_of(nodes).mapInArrow(_hashed(self.words), "node long, h array<long>")
+        nodes = pairs.select(F.col("a").alias("lo")).union(pairs.select(F.col("b").alias("lo"))).distinct()
+        wanted = self.scratch(nodes.join(self.classes, "lo").select("lo", F.col("rep").alias("id")))  # written, so its size decides how it is joined
+        sets = self.texts.join(wanted, "id").select("lo", "text").mapInArrow(_hashed(self.words), "node long, h array<long>")
         sets = self.scratch(sets.dropDuplicates(["node"]))
         both = pairs.join(sets.select(F.col("node").alias("a"), F.col("h").alias("ha")), "a").join(sets.select(F.col("node").alias("b"), F.col("h").alias("hb")), "b")
         common = F.size(F.array_intersect("ha", "hb"))
         return self.scratch(both.where(100 * common >= self.percent * (F.size("ha") + F.size("hb") - common)).select("a", "b"))
 
-    def sized(self, pairs: DataFrame) -> DataFrame:
-        """Pairs (each once) whose sizes leave a link possible."""
-        for end in ("a", "b"):
-            pairs = pairs.join(self.classes.select(F.col("lo").alias(end), F.col("n").alias(f"n_{end}")).dropDuplicates([end]), end)
-        return pairs.where(100 * F.least("n_a", "n_b") >= self.percent * F.greatest("n_a", "n_b")).select("a", "b")
-
     def link(self, pairs: DataFrame) -> None:
         """Verifies pairs (a < b) that haven't been yet, and joins the components of those that link."""
         pairs = pairs.distinct()
         if self.tried is not None:
             pairs = pairs.join(self.tried, ["a", "b"], "left_anti")
-        pairs = self.scratch(self.sized(pairs))
-        if self.tried is not None and pairs.isEmpty():
-            return
+        for end in ("a", "b"):
+            pairs = pairs.join(_ended(self.classes, end, "n", *_PARITIES), end)
+        pairs = self.scratch(pairs.where(_may_link(self.percent, _PARITIES)).select("a", "b").distinct())
         links = self.verified(pairs)
         self.tried = pairs if self.tried is None else self.scratch(self.tried.union(pairs))
-        if self.parts is None:
-            self.parts = components(links)
-        else:
-            self.parts = self.merged(links)
+        self.parts = components(links) if self.parts is None else self.merged(links)
         self.scratch.tables.append(self.parts)
 
     def merged(self, links: DataFrame) -> DataFrame:
@@ -292,52 +291,29 @@ class _Join:
         known = self.parts.select("node", "component").union(alone.select("node", F.col("node").alias("component")))
         return saved(known.join(whole, F.col("component") == F.col("first"), "left").select("node", F.coalesce("whole", "component").alias("component")))
 
-    def open(self, members: DataFrame) -> DataFrame:
-        """sig, lo, part, many (sets of the group) of the groups that hold several components."""
-        placed = members.join(self.parts, F.col("lo") == F.col("node"), "left").select("sig", "lo", F.coalesce("component", "lo").alias("part"))
-        several = placed.groupBy("sig").agg(F.count(F.lit(1)).alias("many"), F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("sig", "many")
-        return self.scratch(placed.join(several, "sig"))
-
-    def level(self, level: int, nodes: DataFrame | None = None) -> DataFrame:
-        """Finds links on one level, and returns the members of the large groups that are open still."""
-        members = self.members(level, nodes)
-        self.link(members.where("prev is not null").select(F.col("prev").alias("a"), F.col("lo").alias("b")))
-        rest = self.open(members.select("sig", "lo"))
-        small = rest.where(F.col("many") <= SMALL)
-        one, two = (small.select("sig", F.col("part").alias(f"part_{end}"), F.col("lo").alias(end)) for end in "ab")
-        self.link(one.join(two, "sig").where("a < b and part_a <> part_b").select("a", "b"))
-        return self.open(rest.where(F.col("many") > SMALL).select("sig", "lo"))
-
-    def blocks(self, rest: DataFrame) -> None:
-        """Compares what large groups hold in blocks: each set meets each block of its group, and a pair comes out only
-        if sizes and sketches (whose differing bits never outnumber the differing elements) leave a link possible."""
-        nodes = rest.select(F.col("lo").alias("node")).distinct()
-        schema = f"node long, n long, {', '.join(f'{s} long' for s in _PARITIES)}"
-        known = self.scratch(self.texts_of(nodes).mapInArrow(_hashed(self.words, True), schema).dropDuplicates(["node"]))
-        number = F.ceil(F.col("many") / BLOCK).cast("int")
-        block = F.pmod(F.xxhash64("lo"), number).cast("int")
-        held = rest.withColumn("blocks", number).withColumn("block", block).join(known, F.col("lo") == F.col("node"))
-
-        def side(end: str, first: Column, second: Column) -> DataFrame:
-            cells = held.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-            return cells.select("sig", first.alias("p"), second.alias("q"), F.col("part").alias(f"part_{end}"), F.col("lo").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in ("n", *_PARITIES)])
-
-        one, two = side("a", F.col("block"), F.col("other")), side("b", F.col("other"), F.col("block"))
-        allowed = F.floor((100 - self.percent) * (F.col("n_a") + F.col("n_b")) / (100 + self.percent))
-        differ = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{s}_a").bitwiseXOR(F.col(f"{s}_b"))) for s in _PARITIES])
-        may = (100 * F.least("n_a", "n_b") >= self.percent * F.greatest("n_a", "n_b")) & (differ <= allowed)
-        self.link(one.join(two, ["sig", "p", "q"]).where((F.col("a") < F.col("b")) & (F.col("part_a") != F.col("part_b")) & may).select("a", "b"))
+    def across(self, members: DataFrame) -> DataFrame:
+        """Pairs (a, b) of sets in one group and in different components that sizes and folded sketches leave possible.
+
+        A group of more than BLOCK sets is cut into blocks, and each set goes to the cells that its block makes with each
+        block of the group; so no task gets a whole large group. Bounds are part of the join: nothing else comes out.
+        """
+        placed = self.scratch(members.join(self.parts, F.col("lo") == F.col("node"), "left").select("sig", "lo", F.coalesce("component", "lo").alias("part")))
+        several = placed.groupBy("sig").agg(F.count(F.lit(1)).alias("many"), F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y")
+        several = self.scratch(several.select("sig", F.ceil(F.col("many") / BLOCK).cast("int").alias("blocks")))
+        folds = [reduce(lambda x, y: x.bitwiseXOR(y), [F.col(s) for s in _PARITIES[i::FOLDED]]).alias(f) for i, f in enumerate(_FOLDS)]
+        held = placed.join(several, "sig").join(self.classes.select("lo", "n", *folds), "lo").withColumn("block", F.pmod(F.xxhash64("lo"), "blocks").cast("int"))
+        held = self.scratch(held).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        one = _ended(held, "a", "part", "n", *_FOLDS, "sig", "block", "other")
+        two = _ended(held, "b", "part", "n", *_FOLDS, "sig", "block", "other")
+        cell = (F.col("sig_a") == F.col("sig_b")) & (F.col("block_a") == F.col("other_b")) & (F.col("other_a") == F.col("block_b"))
+        return one.join(two, cell & (F.col("a") < F.col("b")) & (F.col("part_a") != F.col("part_b")) & _may_link(self.percent, _FOLDS)).select("a", "b")
 
     def run(self) -> DataFrame:
         """id, n, component_id of all rows."""
-        rest = self.level(0)
-        for level in range(1, len(CUTS)):
-            if rest.isEmpty():
-                break
-            rest = self.level(level, rest.select(F.col("lo").alias("node")).distinct())
-        if not rest.isEmpty():
-            self.blocks(rest)
-        named = self.classes.join(self.parts, F.col("lo") == F.col("node"), "left").withColumn("part", F.coalesce("component", "lo"))
+        members = self.members()
+        self.link(members.where("head <> lo").select(F.col("head").alias("a"), F.col("lo").alias("b")))
+        self.link(self.across(members.select("sig", "lo")))
+        named = self.classes.select("lo", "hi", "rep").join(self.parts, F.col("lo") == F.col("node"), "left").withColumn("part", F.coalesce("component", "lo"))
         named = named.withColumn("tl_hi", F.when(F.col("component").isNull(), F.col("hi")))  # sets with one half key in common, unlinked
         least = named.groupBy(F.col("part").alias("of_part"), F.col("tl_hi").alias("of_hi")).agg(F.min("rep").alias("component_id"))
         named = named.join(least, (F.col("part") == F.col("of_part")) & F.col("tl_hi").eqNullSafe(F.col("of_hi"))).select("lo", "hi", "component_id")
@@ -357,9 +333,8 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
     equal; otherwise they are tied only by the id. Long texts are taken whole. An empty table gives an empty one. Only
     `text` and `key` are read, so other columns and their names don't matter.
 
-    No link that could join two components is lost: two sets that link share a group on every level on which both sign.
-    Either all pairs of that group across components are tried, or both sign on the next level, or are compared in
-    blocks after the last one. Pairs within a component aren't formed in small groups, nor come out of blocks.
+    No link that could join two components is lost: two sets that link share a group, and all pairs of a group that are in
+    different components are compared. Pairs within a component never come out.
     """
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     out = _Join(texts, words, percent).run()
