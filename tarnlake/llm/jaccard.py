@@ -10,8 +10,9 @@ A subset in which a set has nothing says nothing. There are therefore some parts
 that in which a subset is empty needs no signature for it. Sets with more sign again under another hash; two sets that
 both have too many meet there, and those that still have too many after the last hash sign their empty subsets.
 
-Of a group (the sets with one signature) each set is first paired with the first one, which is linear. Groups that hold
-several components then are compared in blocks, large ones spread over many tasks; of a pair of blocks only such pairs
+Of a group (the sets with one signature) each set is first paired with the first one, then, where that leaves several
+components, in a few turns with some neighbours in a random order; both are linear. Groups that are open still are
+compared in blocks, large ones spread over many tasks; of a pair of blocks only such pairs
 come out as exact bounds (sizes, and a parity sketch, whose differing bits never outnumber the differing elements) allow.
 """
 
@@ -39,6 +40,8 @@ WIDTH, TRIES = 1.35, 8
 FEW = ((0, 1), (1, 3), (2, 5), (3, 6))
 #: (d, m) beyond that: up to MEDIUM differences, and for larger sets, whose signatures are many.
 MEDIUM, CUTS = 12, ((2, 4), (1, 3))
+#: Turns in which sets meet neighbours of their group, how many, and sets of a group that are put in one order together.
+TURNS, NEAR, STRETCH = 2, 3, 8192
 #: Sets of a block.
 BLOCK = 256
 #: Words of 64 bits in a set's sketch, and in its folded form that goes through blocks.
@@ -291,18 +294,31 @@ class _Join:
         known = self.parts.select("node", "component").union(alone.select("node", F.col("node").alias("component")))
         return saved(known.join(whole, F.col("component") == F.col("first"), "left").select("node", F.coalesce("whole", "component").alias("component")))
 
-    def across(self, members: DataFrame) -> DataFrame:
+    def open(self, members: DataFrame) -> DataFrame:
+        """sig, lo, part, many (sets of the group) of the groups that hold several components."""
+        placed = self.scratch(members.join(self.parts, F.col("lo") == F.col("node"), "left").select("sig", "lo", F.coalesce("component", "lo").alias("part")))
+        several = placed.groupBy("sig").agg(F.count(F.lit(1)).alias("many"), F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y")
+        return self.scratch(placed.join(self.scratch(several.select("sig", "many")), "sig"))
+
+    def neighbours(self, held: DataFrame, turn: int) -> DataFrame:
+        """Pairs (a, b) of sets in different components that are near each other in a random order of their group."""
+        stretch = F.pmod(F.xxhash64("lo", F.lit(turn), F.lit("stretch")), F.ceil(F.col("many") / STRETCH)).alias("stretch")
+        order = Window.partitionBy("sig", "stretch").orderBy(F.xxhash64("lo", F.lit(turn)), "lo")
+        me = F.struct("lo", "part")
+        placed = held.select("sig", "lo", "part", stretch).select("lo", "part", F.array(*[F.lag(me, i).over(order) for i in range(1, NEAR + 1)]).alias("near"))
+        placed = placed.select("lo", "part", F.explode("near").alias("x"))
+        return placed.where("x.part <> part").select(F.least("x.lo", "lo").alias("a"), F.greatest("x.lo", "lo").alias("b"))
+
+    def across(self, held: DataFrame) -> DataFrame:
         """Pairs (a, b) of sets in one group and in different components that sizes and folded sketches leave possible.
 
         A group of more than BLOCK sets is cut into blocks, and each set goes to the cells that its block makes with each
         block of the group; so no task gets a whole large group. Bounds are part of the join: nothing else comes out.
         """
-        placed = self.scratch(members.join(self.parts, F.col("lo") == F.col("node"), "left").select("sig", "lo", F.coalesce("component", "lo").alias("part")))
-        several = placed.groupBy("sig").agg(F.count(F.lit(1)).alias("many"), F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y")
-        several = self.scratch(several.select("sig", F.ceil(F.col("many") / BLOCK).cast("int").alias("blocks")))
         folds = [reduce(lambda x, y: x.bitwiseXOR(y), [F.col(s) for s in _PARITIES[i::FOLDED]]).alias(f) for i, f in enumerate(_FOLDS)]
-        held = placed.join(several, "sig").join(self.classes.select("lo", "n", *folds), "lo").withColumn("block", F.pmod(F.xxhash64("lo"), "blocks").cast("int"))
-        held = self.scratch(held).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        held = held.withColumn("blocks", F.ceil(F.col("many") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("lo"), "blocks").cast("int"))
+        held = self.scratch(held.join(self.classes.select("lo", "n", *folds), "lo"))
+        held = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         one = _ended(held, "a", "part", "n", *_FOLDS, "sig", "block", "other")
         two = _ended(held, "b", "part", "n", *_FOLDS, "sig", "block", "other")
         cell = (F.col("sig_a") == F.col("sig_b")) & (F.col("block_a") == F.col("other_b")) & (F.col("other_a") == F.col("block_b"))
@@ -312,7 +328,10 @@ class _Join:
         """id, n, component_id of all rows."""
         members = self.members()
         self.link(members.where("head <> lo").select(F.col("head").alias("a"), F.col("lo").alias("b")))
-        self.link(self.across(members.select("sig", "lo")))
+        for turn in range(TURNS):
+            members = self.open(members.select("sig", "lo"))
+            self.link(self.neighbours(members, turn))
+        self.link(self.across(self.open(members.select("sig", "lo"))))
         named = self.classes.select("lo", "hi", "rep").join(self.parts, F.col("lo") == F.col("node"), "left").withColumn("part", F.coalesce("component", "lo"))
         named = named.withColumn("tl_hi", F.when(F.col("component").isNull(), F.col("hi")))  # sets with one half key in common, unlinked
         least = named.groupBy(F.col("part").alias("of_part"), F.col("tl_hi").alias("of_hi")).agg(F.min("rep").alias("component_id"))
