@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarnlake.functions.text import let
 from tarnlake.llm.prefix import order_hash
 from tarnlake.llm.store import fresh, saved
 
@@ -29,23 +30,51 @@ SCOPE = 200
 _SPAN = "array<struct<start:bigint,rank:int,end:bigint>>"
 
 
-def spans(text: Column, pattern: str, kind: str, least: int = 0, group: int = 0, most: int = 2**31 - 1) -> Column:
-    """All leftmost non-overlapping matches as (start, rank of the kind, end), code points, end exclusive; matches
-    whose `group` has fewer than `least` or more than `most` characters are dropped afterwards."""
-    rank = KINDS.index(kind)
-    quoted = F.lit(pattern)
-    parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, quoted, F.lit(0)).alias("hit"), *([F.regexp_extract_all(text, quoted, F.lit(group)).alias("part")] if group else []))
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit(None).cast(_SPAN).alias("found"))
+#: Elements of a block of sums or of text pieces, and code points of a text piece.
+STRIDE, PIECE = 32, 1024
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.coalesce(F.length(x["hit"]), F.lit(0))
-        good = x["hit"].isNotNull() & F.length(x["part" if group else "hit"]).between(least, most)
-        here = F.array(F.struct(start.cast("bigint").alias("start"), F.lit(rank).alias("rank"), end.cast("bigint").alias("end")))
-        return F.struct(end.cast("bigint").alias("at"), F.when(good, F.concat(F.coalesce(acc["found"], F.array().cast(_SPAN)), here)).otherwise(acc["found"]).alias("found"))
 
-    none = F.array().cast(_SPAN)
-    return F.when(text.rlike(pattern), F.coalesce(F.aggregate(parts, zero, step, lambda acc: acc["found"]), none)).otherwise(none)
+def sums_before(values: Column, levels: int = 4) -> Column:
+    """For each number of an array, the sum of those before it.
+
+    Blocks of STRIDE numbers are summed by themselves, and so are the blocks' totals, a level up; so the work is in
+    proportion to the array (up to STRIDE ** levels numbers, and little more beyond).
+    """
+
+    def plain(x: Column) -> Column:
+        return F.transform(x, lambda _, i: F.aggregate(F.slice(x, 1, i), F.lit(0).cast("bigint"), lambda acc, v: acc + v))
+
+    def blocked(x: Column) -> Column:
+        cut = F.transform(F.sequence(F.lit(0), F.size(x) - 1, F.lit(STRIDE)), lambda i: F.slice(x, i + 1, STRIDE))
+        return let(cut, lambda blocks: F.flatten(F.zip_with(blocks, totals(blocks), lambda b, start: F.transform(plain(b), lambda v: v + start))))
+
+    def totals(blocks: Column) -> Column:
+        each = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0).cast("bigint"), lambda acc, v: acc + v))
+        return sums_before(each, levels - 1) if levels > 1 else let(each, plain)
+
+    return let(values, lambda x: F.when(F.size(x) > STRIDE, blocked(x)).otherwise(plain(x)))
+
+
+def hits(text: Column, pattern: str) -> Column:
+    """All leftmost non-overlapping matches."""
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+
+
+def spans(text: Column, found: Column, pattern: str, kind: str, least: int = 0, group: int = 0, most: int = 2**31 - 1) -> Column:
+    """Matches, given as hits(), as (start, rank of the kind, end), code points, end exclusive; matches whose `group` has
+    fewer than `least` or more than `most` characters are dropped afterwards. Null or no matches: no spans."""
+    gaps = F.transform(F.slice(F.split(text, pattern, -1), 1, F.size(found)), lambda x: F.length(x).cast("bigint"))
+    lengths = F.transform(found, lambda x: F.length(x).cast("bigint"))
+    part = F.transform(found, lambda x: F.length(F.regexp_extract(x, pattern, group) if group else x).between(least, most))
+
+    def placed(x: Column) -> Column:
+        starts = F.zip_with(sums_before(F.zip_with(x["gap"], x["length"], lambda g, n: g + n)), x["gap"], lambda a, g: a + g)
+        ends = F.arrays_zip(starts.alias("start"), x["length"].alias("length"), x["good"].alias("good"))
+        good = F.filter(ends, lambda e: e["good"])
+        return F.transform(good, lambda e: F.struct(e["start"].alias("start"), F.lit(KINDS.index(kind)).alias("rank"), (e["start"] + e["length"]).alias("end")))
+
+    all_ = let(F.struct(gaps.alias("gap"), lengths.alias("length"), part.alias("good")), placed)
+    return F.when(F.size(found) > 0, all_).otherwise(F.array().cast(_SPAN))
 
 
 def written(found: Column) -> Column:
@@ -91,22 +120,26 @@ def find_secrets(docs: DataFrame, text: str = "text", key: str = "doc_id", scope
     """
     outputs = ("n_assign", "n_access", "n_hex", "base_sha256", "spans", "span_list")
     docs = docs.drop(*outputs)
-    t, assign, access, hexes, weak, link, place = fresh(docs, "tl_t", "tl_assign", "tl_access", "tl_hex", "tl_weak_parts", "tl_link", "tl_place")
+    t, assign, access, hexes, weak, link, place, found, keys, values, ends, same, added = fresh(
+        docs, "tl_t", "tl_assign", "tl_access", "tl_hex", "tl_weak_parts", "tl_link", "tl_place", "tl_found", "tl_keys", "tl_values", "tl_ends", "tl_same", "tl_added_parts"
+    )
     rows = docs.withColumn(t, F.coalesce(F.col(text), F.lit("")))
-    rows = rows.withColumn(assign, spans(F.col(t), ASSIGN, "assign", 6, 2)).withColumn(access, spans(F.col(t), ACCESS, "access", 20)).withColumn(hexes, spans(F.col(t), HEX, "hex"))
+    for name, pattern, kind, least, group in ((assign, ASSIGN, "assign", 6, 2), (access, ACCESS, "access", 20, 0), (hexes, HEX, "hex", 0, 0)):
+        rows = rows.withColumn(found, hits(F.col(t), pattern)).withColumn(name, spans(F.col(t), F.col(found), pattern, kind, least, group)).drop(found)
     # weak parts matter only beside an access identifier, so other texts aren't searched for them
     some = F.size(access) > 0
-    values = [spans(F.col(t), VALUE, "secret")] if whole else []
-    rows = rows.withColumn(weak, F.when(some, F.concat(spans(F.col(t), KEYLIKE, "secret", 40, most=40), *values, spans(F.col(t), ENDPOINT, "endpoint"))))
+    rows = rows.withColumns({keys: F.when(some, hits(F.col(t), KEYLIKE)), values: F.when(some & F.lit(whole), hits(F.col(t), VALUE)), ends: F.when(some, hits(F.col(t), ENDPOINT))})
+    parts = [spans(F.col(t), F.col(keys), KEYLIKE, "secret", 40, most=40), spans(F.col(t), F.col(values), VALUE, "secret"), spans(F.col(t), F.col(ends), ENDPOINT, "endpoint")]
+    rows = rows.withColumn(weak, F.when(some, F.array_distinct(F.concat(*parts)))).drop(keys, values, ends)
     rows = rows.withColumn(link, F.when(some & (F.size(weak) > 0), order_hash(F.col(t))))
     parts = rows.where(F.col(link).isNotNull()).groupBy(F.col(link).alias("tl_key")).agg(F.first(access).alias("tl_strong"), F.first(weak).alias("tl_weak"))
-    added = linked(saved(parts), scope, whole)
+    near = linked(saved(parts), scope, whole).toDF(same, added)
     # texts without links keep away from each other: their place in the shuffle is a hash that matches nothing
     rows = rows.withColumn(place, F.coalesce(link, F.concat(F.lit("-"), order_hash(F.col(key), F.xxhash64(t))))).drop(t, link, weak)
     names = docs.columns
-    out = rows.join(added, F.col(place) == F.col("tl_key"), "left")
+    out = rows.join(near, F.col(place) == F.col(same), "left")
     base = F.array_sort(F.concat(assign, access, hexes))
-    everything = F.array_sort(F.concat(assign, access, hexes, F.coalesce("tl_added", F.array().cast(_SPAN))))
+    everything = F.array_sort(F.concat(assign, access, hexes, F.coalesce(added, F.array().cast(_SPAN))))
     return out.select(
         *[F.col(c) for c in names], F.size(assign).cast("long").alias("n_assign"), F.size(access).cast("long").alias("n_access"), F.size(hexes).cast("long").alias("n_hex"),
         F.sha2(written(base), 256).alias("base_sha256"), written(everything).alias("spans"), everything.alias("span_list"),
@@ -114,13 +147,28 @@ def find_secrets(docs: DataFrame, text: str = "text", key: str = "doc_id", scope
 
 
 def masked(text: Column, span_list: Column, mask: str = "[SECRET]") -> Column:
-    """The text with each stretch that spans cover replaced by `mask`; overlapping spans are one stretch."""
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
+    """The text with each stretch that spans cover replaced by `mask`; overlapping spans are one stretch, touching ones two.
+
+    A null text stays null, and a text without spans as it is. The text is cut into pieces first, so what stands between
+    two spans is found without reading the text from its start: the work is in proportion to text and spans.
+    """
+
+    def between(x: Column, a: Column, b: Column) -> Column:
+        first = F.floor(a / PIECE).cast("int")
+        whole = F.array_join(F.slice(x["pieces"], first + 1, F.floor(b / PIECE).cast("int") - first + 1), "")
+        return F.when(b > a, F.substring(whole, (a - first * PIECE + 1).cast("int"), (b - a).cast("int"))).otherwise("")
+
+    def stretches(s: Column) -> Column:
+        """Distinct cover of the spans: where it begins and where it ends, in turn."""
+        marks = F.array_sort(F.concat(F.transform(s, lambda v: F.struct(v["start"].alias("at"), F.lit(1).alias("way"))), F.transform(s, lambda v: F.struct(v["end"].alias("at"), F.lit(0).alias("way")))))
+        return let(marks, lambda m: let(sums_before(F.transform(m, lambda v: F.when(v["way"] == 1, F.lit(1)).otherwise(F.lit(-1)).cast("bigint"))), lambda deep: F.transform(
+            F.filter(F.zip_with(m, deep, lambda v, d: F.struct(v["at"].alias("at"), v["way"].alias("way"), d.alias("deep"))), lambda v: ((v["way"] == 1) & (v["deep"] == 0)) | ((v["way"] == 0) & (v["deep"] == 1))), lambda v: v["at"])))
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, (acc["at"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))
-        out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], gap, F.lit(mask))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
+    def filled(x: Column) -> Column:
+        cuts = F.concat(F.array(F.lit(0).cast("bigint")), x["cuts"], F.array(x["long"]))  # kept from even places to odd ones
+        ends = let(cuts, lambda c: F.transform(F.sequence(F.lit(1), F.size(c), F.lit(2)), lambda i: F.struct(F.element_at(c, i).alias("a"), F.element_at(c, i + 1).alias("b"))))
+        return F.array_join(F.transform(ends, lambda e: between(x, e["a"], e["b"])), mask)
 
-    done = F.aggregate(span_list, zero, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.lit(2147483647))))
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    done = let(F.struct(pieces.alias("pieces"), stretches(span_list).alias("cuts"), F.length(text).cast("bigint").alias("long")), filled)
     return F.when(F.size(span_list) > 0, done).otherwise(text)
