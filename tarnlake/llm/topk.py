@@ -16,18 +16,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnlake.llm.store import saved
+from tarnlake.llm.store import Scratch, saved
 
 #: Vectors of a block, and queries at most that go to a block together.
-BLOCK, QUERIES = 16384, 2048
+BLOCK, QUERIES = 16384, 16384
 #: Components within a step of this many share a segment.
 STEP = 4
 #: Contributions, in typical ones, down to which each round goes; the last round takes all.
-ROUNDS = (2.0, 1.0, 0.4, 0.0, -0.2, -0.4, -0.6, -0.9, -1.3, -2.0)
+ROUNDS = (0.5, -0.4, -0.7, -1.1, -1.6)
 
 
 class ImpactIndex:
-    """The postings of one block of integer vectors."""
+    """The postings of one block of integer vectors. `processed` counts the postings that searches have processed, `all`
+    those that they had before them, and `unproved` the searches that had to score every vector.
+
+    Impacts may be of any size: segments are those quantised impacts that occur. Scores must fit 64 bits.
+    """
 
     def __init__(self, ids: np.ndarray, values: np.ndarray):
         order = np.argsort(ids, kind="stable")
@@ -36,56 +40,69 @@ class ImpactIndex:
         columns = np.ascontiguousarray(self.values.T)
         self.postings = np.argsort(columns, 1, kind="stable")  # from the lowest impact
         self.impacts = np.take_along_axis(columns, self.postings, 1)
-        self.low = np.floor_divide(self.impacts[:, :1], STEP)[:, 0] if n else np.zeros(self.dims, np.int64)
-        levels = int((np.floor_divide(self.impacts[:, -1], STEP) - self.low).max(initial=0)) + 1 if n else 1
-        # where segment s of a dimension begins: quantised impact low + s
-        self.edges = np.stack([np.searchsorted(row, (low + np.arange(levels + 1)) * STEP) for row, low in zip(self.impacts, self.low, strict=True)]) if n and self.dims else np.zeros((self.dims, 2), np.int64)
-        self.typical = float(np.sqrt((self.values**2).mean())) if self.values.size else 0.0
+        self.largest = int(np.abs(self.values).max(initial=0))
+        self.typical = self._typical(self.values)
+        self.span = 2 * (self.largest + STEP) + 1
+        self.keyed = (self.impacts + np.arange(self.dims)[:, None] * self.span).ravel()  # one sorted row, to find places in many dimensions at once
+        self.processed = self.all = self.unproved = 0
+
+    @staticmethod
+    def _typical(x: np.ndarray) -> float:
+        """A usual size, which a few outliers don't change."""
+        size = np.abs(x)
+        return 1.5 * float(np.median(size)) or float(np.sqrt((size.astype(float) ** 2).mean())) if x.size else 0.0
 
     def _rescored(self, on: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         score = self.values[on] @ q
         best = np.lexsort((self.ids[on], -score))[:k]
         return self.ids[on[best]], score[best]
 
-    def search(self, q: np.ndarray, k: int, skip: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and exact scores of the k best, ties to the smaller id; vectors with the id `skip` are left out."""
+    def search(self, q: np.ndarray, k: int, skip: int | None = None, floor: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and exact scores of the k best, ties to the smaller id; vectors with the id `skip` are left out. With
+        `floor`, a score that k vectors elsewhere have reached, only vectors that reach it, too, need be found."""
         n, q = len(self.ids), q.astype(np.int64)
         shift = int(self.dims).bit_length()
-        packed = np.zeros(n, np.int64)  # accumulator, and in the low bits the number of dimensions met
         lost = np.flatnonzero(self.ids == skip) if skip is not None else np.zeros(0, np.int64)
         dims = np.flatnonzero(q)
-        many, enough = n - len(lost), max(4 * k, n // 40)
+        many, enough = n - len(lost), max(4 * k, n // 10)
         if many <= enough or not len(dims):
             return self._rescored(np.setdiff1d(np.arange(n), lost), q, k)
+        narrow = (self.largest * int(np.abs(q).max()) * self.dims + 1) << shift < 2**62
+        acc, met = np.zeros(n, np.int64), np.zeros(0 if narrow else n, np.int64)  # if narrow, dimensions met are counted in the low bits
         up = q[dims] > 0
-        level = self.edges.shape[1] - 1
-        at = np.where(up, level, 0)  # segments still to come: below `at` where the component is positive, else from it on
-        scale = self.typical * float(np.sqrt((q[dims] ** 2).mean()))
+        at = np.where(up, n, 0)  # postings still to come: below `at` where the component is positive, else from it on
+        scale = self.typical * self._typical(q[dims])
+        self.all += n * len(dims)
         for t in ROUNDS:
             bound = int(np.floor(t * scale))
             # every segment whose highest contribution is above `bound` is processed now
-            edge = np.floor_divide(bound, q[dims])
-            to = np.where(up, np.floor_divide(edge + 1, STEP) - self.low[dims], np.floor_divide(-np.floor_divide(-bound, q[dims]), STEP) - self.low[dims] + 1)
-            to = np.clip(np.where(up, np.minimum(to, at), np.maximum(to, at)), 0, level)
-            for i in np.flatnonzero(to != at).tolist():
-                d = dims[i]
-                lo, hi = (to[i], at[i]) if up[i] else (at[i], to[i])
-                a, b = self.edges[d, lo], self.edges[d, hi]
-                if b > a:
-                    packed[self.postings[d, a:b]] += (q[d] << shift) * self.impacts[d, a:b] + 1
-            at = to
+            edge = np.where(up, np.floor_divide(np.floor_divide(bound, q[dims]) + 1, STEP) * STEP, (np.floor_divide(-np.floor_divide(-bound, q[dims]), STEP) + 1) * STEP)
+            to = np.searchsorted(self.keyed, np.clip(edge, -self.largest, self.largest + 1) + dims * self.span) - dims * n
+            low, high = np.where(up, to, at), np.where(up, at, to)
+            for i in np.flatnonzero(high > low).tolist():
+                d, a, b = dims[i], low[i], high[i]
+                rows, here = self.postings[d, a:b], self.impacts[d, a:b]
+                if narrow:
+                    acc[rows] += here * (q[d] << shift) + 1
+                else:
+                    acc[rows] += here * q[d]
+                    met[rows] += 1
+            self.processed += int(np.maximum(high - low, 0).sum())
+            at = np.where(high > low, to, at)
             if t > 0:
                 continue
-            acc, met = packed >> shift, packed & ((1 << shift) - 1)
-            most = acc + (len(dims) - met) * bound  # what isn't met contributes `bound` at most
+            # what isn't met contributes `bound` at most
+            most = (acc >> shift) + (len(dims) - (acc & ((1 << shift) - 1))) * bound if narrow else acc + (len(dims) - met) * bound
             most[lost] = np.iinfo(np.int64).min
             near = np.argpartition(most, n - 4 * k)[n - 4 * k :]
             near = near[most[near] > np.iinfo(np.int64).min]
             _, score = self._rescored(near, q, k)
-            if len(score) == k:
-                may = np.flatnonzero(most >= score[-1])
+            least = max([x for x in (int(score[-1]) if len(score) == k else None, floor) if x is not None], default=None)
+            if least is not None:
+                may = np.flatnonzero(most >= least)
                 if len(may) <= enough:
                     return self._rescored(may, q, k)
+        self.unproved += 1
         return self._rescored(np.setdiff1d(np.arange(n), lost), q, k)
 
 
@@ -110,8 +127,8 @@ def _searcher(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
         rows: list[np.ndarray] = []
         if queries.num_rows and vectors.num_rows:
             index = ImpactIndex(vectors["id"].to_numpy(), _matrix(vectors["v"]))
-            for i, q in zip(queries["ask_id"].to_numpy(), _matrix(queries["ask_v"]), strict=True):
-                ids, score = index.search(q, k, i)
+            for i, q, floor in zip(queries["ask_id"].to_numpy(), _matrix(queries["ask_v"]), queries["floor"].to_pylist(), strict=True):
+                ids, score = index.search(q, k, i, floor)
                 rows.append(np.stack([np.full(len(ids), i), ids, score], 1))
         out = np.concatenate([np.zeros((0, 3), np.int64), *rows])
         return pa.table({"query_id": out[:, 0], "vec_id": out[:, 1], "score": out[:, 2]})
@@ -127,22 +144,35 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id",
     of another length than the query's are no candidates. An id that occurs in several rows is several candidates with
     that id, and one query (its lowest vector) if it is one. An empty table gives an empty result.
 
-    Each block of queries goes to each block of vectors, as rows of a bounded group; at most k rows a query come out of
-    a pair of blocks.
+    Components may be of any size as long as scores fit 64 bits. Each block of queries goes to each block of vectors, as
+    rows of a bounded group; at most k rows a query come out of a pair of blocks. The first block of vectors is searched
+    before the others, which get each query's k-th score from it as a floor.
     """
+    scratch = Scratch()
     good = vectors.where(usable(F.col(vector)) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), quantised(F.col(vector), scale).alias("v"), is_query.alias("ask"))
-    good = saved(good.withColumn("dims", F.size("v")))
+    good = scratch(good.withColumn("dims", F.size("v")))
     asked = good.where("ask").groupBy("id", "dims").agg(F.min("v").alias("v"))
     sizes = good.groupBy("dims").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("ask").cast("int")).alias("asks"))
-    slots = 4 * vectors.sparkSession.sparkContext.defaultParallelism
+    slots = vectors.sparkSession.sparkContext.defaultParallelism
     parts = F.ceil(F.col("n") / block).cast("int")
-    sizes = sizes.where("asks > 0").select("dims", parts.alias("parts"), F.greatest(F.ceil(F.col("asks") / queries), F.least(F.ceil(F.lit(slots) / parts), F.ceil(F.col("asks") / 64))).cast("int").alias("groups"))
+    sizes = sizes.where("asks > 0").select("dims", parts.alias("parts"), F.greatest(F.ceil(F.col("asks") / queries), F.least(F.lit(slots).cast("long"), F.ceil(F.col("asks") / 256))).cast("int").alias("groups"))
     place = F.pmod(F.xxhash64("id", "v"), F.col("parts"))
-    held = good.join(sizes, "dims").select("dims", "id", "v", place.alias("part"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"))
-    keys = ["dims", "part", "group"]
-    ask = [f"ask_{c}" for c in keys]
-    asked = asked.join(sizes, "dims").select(F.col("dims").alias(ask[0]), "id", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias(ask[1]), F.pmod(F.xxhash64("id"), F.col("groups")).cast("int").alias(ask[2]))
-    asked = asked.toDF(ask[0], "ask_id", "ask_v", *ask[1:])
-    found = asked.groupBy(*ask).cogroup(held.groupBy(*keys)).applyInArrow(_searcher(k), "query_id long, vec_id long, score long")
+    held = scratch(good.join(sizes, "dims").select("dims", "id", "v", place.cast("int").alias("part"), "groups"))
+    asked = scratch(asked.join(sizes, "dims").select(F.col("dims").alias("ask_dims"), F.col("id").alias("ask_id"), F.col("v").alias("ask_v"), "parts", F.pmod(F.xxhash64("id"), F.col("groups")).cast("int").alias("ask_group")))
+
+    def found(first: bool, asked: DataFrame) -> DataFrame:
+        mine = held.where((F.col("part") == 0) if first else (F.col("part") > 0)).withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
+        parts = F.array(F.lit(0)) if first else F.sequence(F.lit(1), F.col("parts") - 1)
+        asked = asked if first else asked.where("parts > 1")
+        asked = asked.withColumn("ask_part", F.explode(parts))
+        both = asked.groupBy("ask_dims", "ask_part", "ask_group").cogroup(mine.groupBy("dims", "part", "group"))
+        return scratch(both.applyInArrow(_searcher(k), "query_id long, vec_id long, score long"))
+
+    begun = found(True, asked.withColumn("floor", F.lit(None).cast("long")))
+    floors = begun.groupBy("query_id").agg(F.count(F.lit(1)).alias("many"), F.min("score").alias("floor")).where(F.col("many") >= k).select("query_id", "floor")
+    rest = found(False, asked.join(floors, F.col("ask_id") == F.col("query_id"), "left").drop("query_id"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    out = begun.union(rest).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    out = saved(out)
+    scratch.clear()
+    return out

@@ -249,6 +249,22 @@ def test_impact_index_is_exact():
         assert got.tolist() == ids[best].tolist() and score.tolist() == s[best].tolist()
 
 
+def test_impacts_may_be_of_any_size():
+    rng = np.random.default_rng(7)
+    w = rng.integers(-40, 41, (3000, 16))
+    w[5, 3], w[6, 2], w[7] = 256_000_000, -256_000_000, 0
+    ids = np.arange(3000)
+    index = ImpactIndex(ids, w)
+    for i in (0, 5, 6, 7, 100, 200):
+        for floor in (None, int(np.sort(np.delete(w @ w[i], i))[-5])):
+            got, score = index.search(w[i], 5, i, floor)
+            s = w @ w[i]
+            on = np.delete(ids, i)
+            best = on[np.lexsort((on, -s[on]))[:5]]
+            assert got.tolist() == best.tolist() and score.tolist() == s[best].tolist()
+    assert 0 < index.processed < index.all
+
+
 def test_exchanges_keep_counts():
     rng = np.random.default_rng(5)
     for _ in range(50):

@@ -279,6 +279,9 @@ def test_top_k(spark):
             want[i] = sorted(((j, int(q @ v)) for j, v in good if j != i), key=lambda p: (-p[1], p[0]))[:5]
     assert got == want
     assert topk.top_k(frame.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+    huge = frame.unionByName(spark.createDataFrame([(450, [1e6] + [0.0] * 7), (451, [1e6] * 8)], "vec_id long, embedding array<float>"))
+    best = {r["query_id"]: (r["vec_id"], r["score"]) for r in topk.top_k(huge, F.col("vec_id") % 50 == 0, block=64).where("rank = 1").collect()}
+    assert best[450] == (451, 256_000_000**2)
     assert topk.top_k(frame.where("vec_id in (0, 1, 2)"), F.col("vec_id") == 0).count() == 2
 
 
