@@ -5,6 +5,9 @@ round, a row wants the shard that holds most of its group, and rows move as exch
 want to cross one way against those that want to cross the other way, or against rows without neighbours. So counts
 stay as they are. Of the shards, only their table of wishes (shards x shards numbers) comes to the driver. Groups
 larger than a part of a shard are cut into sections, for they fit no shard.
+
+No join gathers a large group: groups of more than 1 / HOT of all rows are at most HOT in number, so what is known of
+them is broadcast; rows of smaller ones are joined by shuffles.
 """
 
 from __future__ import annotations
@@ -15,7 +18,10 @@ from pyspark.sql import functions as F
 from tarnlake.llm.prefix import order_hash, running
 from tarnlake.llm.store import dropped, fresh, saved
 
-ROUNDS = 3
+#: Rounds at most; they end sooner when no row moves, or wishes hardly get fewer.
+ROUNDS = 6
+#: Groups with more than 1 / HOT of all rows are large.
+HOT = 4096
 
 
 def quotas(wants: dict[tuple[int, int], int], free: dict[int, int], shards: int) -> tuple[dict[tuple[int, int], int], dict[int, list[tuple[int, int]]]]:
@@ -49,32 +55,48 @@ def balanced_shards(docs: DataFrame, link: Column, key: str = "doc_id", text: st
     an empty one. Columns named like the new ones are replaced.
     """
     docs = docs.drop("shard", "slot")
-    order, rank, group, section, want, size, hub, target, free = fresh(docs, "tl_order", "tl_rank", "tl_group", "tl_section", "tl_want", "tl_n", "tl_hub", "tl_target", "tl_free")
+    order, rank, group, section, want, size, hub, target, free, large, place = fresh(
+        docs, "tl_order", "tl_rank", "tl_group", "tl_section", "tl_want", "tl_n", "tl_hub", "tl_target", "tl_free", "tl_large", "tl_place"
+    )
     rows = docs.withColumn(order, order_hash(F.col(key), F.md5(text)))
     # a free row is a group of its own, so that the joins below spread such rows out
     rows = rows.withColumn(group, F.coalesce(F.concat(F.lit("="), link.cast("string")), F.concat(F.lit("-"), order)))
-    groups = rows.groupBy(F.col(group).alias(hub)).agg(F.count(F.lit(1)).alias(size)).where(F.col(size) > 1)
-    total = docs.count()
-    most = max(1, total // (2 * shards))
-    # a group's size comes to its rows; rows of large groups stay spread, as those groups are few and joined by broadcast or split by AQE
-    rows = running(rows, [], order, F.lit(1).cast("long"), rank).withColumn("shard", (F.col(rank) % shards).cast("int")).drop(rank)
-    rows = rows.join(groups, F.col(group) == F.col(hub), "left").drop(hub)
+    rows = saved(running(rows, [], order, F.lit(1).cast("long"), rank).withColumn("shard", (F.col(rank) % shards).cast("int")).drop(rank))
+    groups = saved(rows.groupBy(F.col(group).alias(hub)).agg(F.count(F.lit(1)).alias(size)).where(F.col(size) > 1))
+    total = rows.count()
+    most, limit = max(1, total // (2 * shards)), max(1, total // HOT)
+    scratch = [rows, groups]
+
+    def looked_up(rows: DataFrame, key: str, table: DataFrame, is_large: Column) -> DataFrame:
+        """Left join of `table` (by `hub`): what is large there is broadcast (HOT groups and their sections at most)."""
+        known = [c for c in table.columns if c not in (hub, large)]
+        out = rows.join(F.broadcast(table.where(is_large).drop(large)), F.col(key) == F.col(hub), "left").withColumn(large, F.col(hub).isNotNull()).drop(hub)
+        out = out.withColumnsRenamed({c: f"{c}_large" for c in known}).withColumn(place, F.when(F.col(large), F.concat(F.lit("-"), order)).otherwise(F.col(key)))
+        out = out.join(table.where(~is_large).drop(large), F.col(place) == F.col(hub), "left").drop(hub, place)
+        return out.withColumns({c: F.coalesce(f"{c}_large", c) for c in known}).drop(*[f"{c}_large" for c in known])
+
+    rows = looked_up(rows, group, groups, F.col(size) > limit)
     sections = F.ceil(F.col(size) / most).cast("int")
     number = F.pmod(F.conv(F.substring(order, 5, 8), 16, 10).cast("long"), sections)
     rows = rows.withColumn(free, F.col(size).isNull())
     rows = rows.withColumn(section, F.when(F.col(free), F.concat(F.lit("-"), order)).otherwise(F.concat_ws(":", group, number.cast("string")))).drop(group, size)
     rows = saved(rows)
+    dropped(*scratch)
+    before = None
     for _ in range(rounds):
-        held = rows.where(~F.col(free)).groupBy(section, "shard").agg(F.count(F.lit(1)).alias(size))
-        best = held.groupBy(F.col(section).alias(hub)).agg(F.max_by("shard", F.struct(F.col(size), F.xxhash64(section, "shard"))).alias(target))
-        rows_wanting = rows.join(best, F.col(section) == F.col(hub), "left").drop(hub)
+        held = rows.where(~F.col(free)).groupBy(section, large, "shard").agg(F.count(F.lit(1)).alias(size))
+        best = held.groupBy(F.col(section).alias(hub), large).agg(F.max_by("shard", F.struct(F.col(size), F.xxhash64(section, "shard"))).alias(target))
+        best = saved(best)
+        rows_wanting = looked_up(rows.drop(large), section, best, F.col(large))
         old, rows = rows, saved(rows_wanting.withColumn(want, F.coalesce(target, F.col("shard"))).drop(target))
-        dropped(old)
+        dropped(old, best)
         counts = rows.groupBy("shard", want, F.col(free).alias("free")).agg(F.count(F.lit(1)).alias("n")).collect()  # shards x shards rows at most
         wants = {(r["shard"], r[want]): r["n"] for r in counts if r["shard"] != r[want]}
-        if not wants:
+        now = sum(wants.values())
+        if not wants or before is not None and now > 0.98 * before:
             rows = rows.drop(want)
             break
+        before = now
         move, sent = quotas(wants, {r["shard"]: r["n"] for r in counts if r["free"]}, shards)
         rows = running(rows, ["shard", want, free], order, F.lit(1).cast("long"), rank)
         pair = F.col("shard") * shards + F.col(want)
@@ -91,7 +113,7 @@ def balanced_shards(docs: DataFrame, link: Column, key: str = "doc_id", text: st
         old, rows = rows, rows.withColumn("shard", shard.cast("int")).drop(want, rank)
         rows = saved(rows)
     out = running(rows, ["shard"], order, F.lit(1).cast("long"), "slot", [key])
-    return out.drop(order, section, free)
+    return out.drop(order, section, free, large)
 
 
 def cut_edges(sharded: DataFrame, link: Column) -> DataFrame:

@@ -239,8 +239,9 @@ def test_masked_text(spark):
 # --- sharding --------------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("hot", [0, 150])
-def test_sharding(spark, hot):
+@pytest.mark.parametrize("hot, large", [(0, 4096), (150, 4096), (150, 8), (0, 1)])
+def test_sharding(spark, monkeypatch, hot, large):
+    monkeypatch.setattr(sharding, "HOT", large)
     rows = [(i, f"text {i // 3}" if i < 240 else f"alone {i}") for i in range(400)] + [(1000 + i, "copy") for i in range(hot)] + [(None, None), (7, "text 2"), (None, "")]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     out = sharding.balanced_shards(frame, F.md5("text")).collect()
@@ -253,10 +254,18 @@ def test_sharding(spark, hot):
         groups[r["text"]].append(r["shard"])
     small = [g for t, g in groups.items() if 1 < len(g) < 10]
     assert sum(len(set(g)) == 1 for g in small) >= 0.8 * len(small)
+    hot = Counter(r["shard"] for r in out if r["text"] == "copy")
+    assert not hot or max(hot.values()) <= max(sizes.values())
     row = sharding.cut_edges(sharding.balanced_shards(frame, F.md5("text")), F.md5("text")).first()
     assert row["groups"] == len([g for t, g in groups.items() if len(g) > 1 and t is not None])
 
 
+def test_sharding_names_may_clash(spark):
+    frame = spark.createDataFrame([(i, f"t{i % 5}", "a", "b", 7) for i in range(40)], "doc_id long, text string, tl_hub string, TL_LARGE string, slot int")
+    out = sharding.balanced_shards(frame, F.md5("text"), shards=4)
+    assert out.columns == ["doc_id", "text", "tl_hub", "TL_LARGE", "shard", "slot"] and {r["tl_hub"] for r in out.collect()} == {"a"}
+
+
 def test_sharding_nothing(none):
     assert sharding.balanced_shards(none, F.md5("text")).count() == 0
 
