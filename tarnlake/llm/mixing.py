@@ -63,16 +63,17 @@ def demand_position(x: Column, total: Column, knots: list[Column]) -> Column:
 
 
 def mix_sources(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", weights: tuple[int, ...] = WEIGHTS, schedules: tuple[tuple[float, ...], ...] = SCHEDULES, share: tuple[int, int] = (3, 2), cap: int = 2, turns: bool = False) -> DataFrame:
-    """Adds size, source_size, target (of the source), taken (words the mix takes, repeats counted) and position.
+    """Adds size, source_size, target (of the source), taken (words the mix takes, repeats counted), position and positions.
 
     A source's documents stand in the order of a hash of key and text. The mix takes words along that order until the
     target (rounded) is met, from the start again where the target is beyond what the source has; the document in which
-    it is met gives its first words only. position is that of a document's first word in training, null if nothing is
-    taken. A null source is a source. Null and empty texts have size 0 and are never taken. Repeated rows count one by
+    it is met gives its first words only. positions has a place in training for each pass in which words of a document
+    are taken, that of the first of them; position is the first place, null if nothing is taken. With `turns`, there is
+    a row for each pass instead, with its turn (from 0), taken and position. A null source is a source. Null and empty texts have size 0 and are never taken. Repeated rows count one by
     one; which of them comes first doesn't show. An empty table gives an empty one. Columns named like the new ones
     are replaced.
     """
-    docs = docs.drop("size", "source_size", "target", "taken", "position")
+    docs = docs.drop("size", "source_size", "target", "taken", "position", "positions", *["turn"] * turns)
     order, before, rank = fresh(docs, "tl_order", "tl_before", "tl_rank")
     rows = docs.withColumn("size", word_count(F.col(text))).withColumn(order, order_hash(F.col(key), F.md5(text)))
     sums = rows.groupBy(F.col(source).alias("tl_name")).agg(F.sum("size").alias("tl_words"))
@@ -85,15 +86,19 @@ def mix_sources(docs: DataFrame, text: str = "text", source: str = "source", key
     schedule = F.col(rank) % len(schedules)
     knots = [F.element_at(F.array(*[F.lit(float(s[i])) for s in schedules]), (schedule + 1).cast("int")) for i in range(len(schedules[0]))]
     places = [F.round(demand_position(start.cast("double"), F.col("target"), knots), 9) for start in starts]
+    each = F.array(*[F.struct(F.lit(k).alias("turn"), part.alias("taken"), place.alias("position")) for k, (part, place) in enumerate(zip(parts, places))])
+    each = F.filter(each, lambda x: x["taken"] > 0)
     if turns:
-        each = F.array(*[F.struct(F.lit(k).alias("turn"), part.alias("taken"), place.alias("position")) for k, (part, place) in enumerate(zip(parts, places))])
-        rows = rows.select("*", F.inline(F.filter(each, lambda x: x["taken"] > 0)))
+        rows = rows.select("*", F.inline(each))
     else:
-        rows = rows.withColumn("taken", sum(parts[1:], parts[0]))
-        rows = rows.withColumn("position", F.when(F.col("taken") > 0, places[0]))
+        rows = rows.withColumn("taken", sum(parts[1:], parts[0])).withColumn("positions", F.transform(each, lambda x: x["position"]))
+        rows = rows.withColumn("position", F.get("positions", F.lit(0)))
     return rows.drop(order, before, rank)
 
 
 def in_training_order(mixed: DataFrame, key: str = "doc_id") -> DataFrame:
-    """What the mix takes, sorted over all partitions by position (by a sampled range shuffle)."""
+    """What the mix takes, sorted over all partitions by position (by a sampled range shuffle), ties by a hash of `key`.
+
+    Rows that take nothing (null and empty texts, too) are left out; repeated rows stay. An empty table gives an empty one.
+    """
     return mixed.where(F.col("taken") > 0).orderBy("position", order_hash(F.col(key)))

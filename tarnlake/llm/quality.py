@@ -119,8 +119,10 @@ class QualityModel:
         return np.where(total > 0, np.bincount(row, p * size, len(per)) / np.maximum(total, 1), 0.5)
 
     def scores(self, data: np.ndarray, edges: np.ndarray) -> np.ndarray:
+        """By document; 0 where there is nothing but white space."""
         share = self.share(*self.lines(data, edges))
-        return 1 / (1 + np.exp(-np.clip(self.slope * share + self.shift, -30, 30)))
+        some = np.diff(np.concatenate([[0], np.cumsum(~WHITE[data])])[edges]) > 0
+        return np.where(some, 1 / (1 + np.exp(-np.clip(self.slope * share + self.shift, -30, 30))), 0.0)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 300, l2: float = 1e-3) -> np.ndarray:
@@ -180,7 +182,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Col
 def score_quality(docs: DataFrame, model: QualityModel, text: str = "text", score: str = "score") -> DataFrame:
     """Adds `score` (0 to 1, higher: likelier good) to every row.
 
-    Null and empty texts get the score of a text whose lines say nothing (share 0.5). Repeated rows score alike, for a
+    Null and empty texts, and those of white space alone, score 0: without content a document isn't good. Repeated rows score alike, for a
     score depends on the text alone. An empty table gives an empty one. A column named like `score` is replaced.
     """
     (work,) = fresh(docs, "tl_text")
@@ -199,7 +201,11 @@ def score_quality(docs: DataFrame, model: QualityModel, text: str = "text", scor
 
 
 def label_lines(docs: DataFrame, model: QualityModel, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row for each non-empty line: key, line (from 0), bytes, p_good."""
+    """One row for each non-empty line: key, line (from 0), bytes, p_good.
+
+    Null and empty texts have no rows. Lines longer than LINE count as several. Repeated rows repeat their lines. Only
+    `key` and `text` are read, so other columns and their names don't matter.
+    """
     schema = docs.select(key).schema.add("line", "long").add("bytes", "long").add("p_good", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

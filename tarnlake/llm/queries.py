@@ -33,15 +33,17 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated_quality(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), sf_dir).select("doc_id", "held_out", "score", "predicted")
 
 
-def rated_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def rated_quality(spark: SparkSession, docs: DataFrame, sf_dir: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """`docs` with score, held_out and predicted, by a model of the labelled documents in `sf_dir`."""
     sample = quality.labelled_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "quality", remainder(4) != 2, QUALITY_ROWS)
-    out = quality.score_quality(docs, quality.fit_quality(*sample))
-    return out.withColumn("held_out", F.coalesce(remainder(4) == 2, F.lit(False))).withColumn("predicted", (F.col("score") >= SURE).cast("int"))
+    out = quality.score_quality(docs, quality.fit_quality(*sample), text)
+    return out.withColumn("held_out", F.coalesce(remainder(4, key) == 2, F.lit(False))).withColumn("predicted", (F.col("score") >= SURE).cast("int"))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mixing.mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken", "position").orderBy(F.col("position").asc_nulls_last(), mixing.order_hash(F.col("doc_id")))
+    out = mixing.mix_sources(docs).withColumn("second_position", F.get("positions", F.lit(1)))
+    return out.select("doc_id", "size", "source_size", "target", "taken", "position", "second_position").orderBy(F.col("position").asc_nulls_last(), mixing.order_hash(F.col("doc_id")))
 
 
 def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,11 +109,13 @@ t AS (SELECT source, words, k, least(cap::DOUBLE, coalesce((SELECT level FROM l
 m AS (SELECT d.doc_id, d.size, t.words AS source_size, t.target, t.k % 3 AS turn, floor(t.target + 0.5)::BIGINT AS goal,
         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-e AS (SELECT *, (greatest(0, least(size, goal - before)) + greatest(0, least(size, goal - before - source_size)))::BIGINT AS taken,
+e AS (SELECT *, greatest(0, least(size, goal - before))::BIGINT AS one, greatest(0, least(size, goal - before - source_size))::BIGINT AS two,
         CASE WHEN target > 0 THEN least(before::DOUBLE / target, 1.0) ELSE 0.0 END * 1.0::DOUBLE AS need,
+        CASE WHEN target > 0 THEN least((before + source_size)::DOUBLE / target, 1.0) ELSE 0.0 END * 1.0::DOUBLE AS more,
         [0.0, -1.0, 1.0][(turn + 1)::INT]::DOUBLE AS slope, [1.0, 1.5, 0.5][(turn + 1)::INT]::DOUBLE AS a FROM m)
-SELECT doc_id, size, source_size, target, taken,
-       CASE WHEN taken > 0 THEN round(CASE WHEN need > 0 THEN least(2.0 * need / (a + sqrt(greatest(a * a + 2.0 * slope * need, 0.0))), 1.0) ELSE 0.0 END, 9) END AS position
+SELECT doc_id, size, source_size, target, one + two AS taken,
+       CASE WHEN one > 0 THEN round(CASE WHEN need > 0 THEN least(2.0 * need / (a + sqrt(greatest(a * a + 2.0 * slope * need, 0.0))), 1.0) ELSE 0.0 END, 9) END AS position,
+       CASE WHEN two > 0 THEN round(CASE WHEN more > 0 THEN least(2.0 * more / (a + sqrt(greatest(a * a + 2.0 * slope * more, 0.0))), 1.0) ELSE 0.0 END, 9) END AS second_position
 FROM e
 """
 

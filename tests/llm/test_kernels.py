@@ -70,9 +70,9 @@ def test_quality_learns_lines():
     bad = ["BUY!! NOW!! CHEAP!! CLICK!!\nWIN!! BIG!! TODAY!!"] * 20
     model = fit_quality(good + bad, [1] * 20 + [0] * 20)
     s = model.scores(*flat(pa.array([good[0], bad[0], "", None])))
-    assert s[0] > 0.7 > s[1] and s[2] == s[3]
+    assert s[0] > 0.7 > s[1] and s[2] == s[3] == 0
     alone = fit_quality([], [])
-    assert alone.scores(*flat(pa.array(["x", None])))[0] == 0.5
+    assert alone.scores(*flat(pa.array(["x", None]))).tolist() == [0.5, 0]
 
 
 def test_line_features_cut_very_long_lines():

@@ -48,7 +48,7 @@ def test_quality(docs, none):
     model = quality.fit_quality(["plain good prose in a line", "BAD!! BAD!! BAD!!"] * 10, [1, 0] * 10)
     out = quality.score_quality(docs, model)
     assert out.columns == [c for c in docs.columns if c != "score"] + ["score"] and out.count() == len(ROWS)
-    assert all(0 <= r["score"] <= 1 for r in out.collect())
+    assert all(0 <= r["score"] <= 1 and (r["score"] > 0) == bool((r["text"] or "").strip()) for r in out.collect())
     assert quality.score_quality(none, model).count() == 0
     lines = quality.label_lines(docs, model)
     assert lines.where("doc_id = 5").agg(F.sum("bytes")).first()[0] == 150_000
@@ -128,6 +128,20 @@ def test_mixing(spark, docs, none):
     assert mixing.mix_sources(none).count() == 0 and mixing.in_training_order(mixing.mix_sources(none)).count() == 0
 
 
+def test_each_pass_has_its_place(spark):
+    """Source a is oversampled to twice its size: its second pass fills the second half of an even schedule."""
+    rows = [(i, "w " * 10, "a") for i in range(20)] + [(100 + i, "w " * 10, "b") for i in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = [r for r in mixing.mix_sources(frame).collect() if r["source"] == "a"]
+    assert all(r["target"] == 400 and len(r["positions"]) == 2 and r["position"] == r["positions"][0] for r in out)
+    places = sorted(p for r in out for p in r["positions"])
+    assert places == pytest.approx([i / 40 for i in range(40)])
+    for r in out:
+        assert r["positions"][1] - r["positions"][0] == pytest.approx(0.5)
+    turns = mixing.mix_sources(frame, turns=True)
+    assert sorted(r["position"] for r in turns.where("source = 'a'").collect()) == pytest.approx(places)
+
+
 def test_positions_follow_the_schedule(spark):
     knots = [F.lit(1.5), F.lit(1.0), F.lit(0.5)]
     rows = spark.range(0, 101).select((F.col("id") / 100.0).alias("x")).withColumn("t", mixing.demand_position(F.col("x"), F.lit(1.0), knots)).collect()

@@ -38,16 +38,16 @@ def test_good_documents_stay(spark, steps):
     assert sum(right) >= 0.95 * len(right)
 
 
-def _shingles(text):
+def _shingles(text, k=corpus_pipeline.WORDS):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-    return {tuple(w[i : i + 4]) for i in range(len(w) - 3)} if len(w) >= 4 else {tuple(w)} - {()}
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} - {()}
 
 
 def test_one_of_each_group_stays(steps):
     _, before, after = steps[1]
     sets = {r["doc_id"]: _shingles(r["text"]) for r in before.collect()}
     least = {i: i for i in sets}
-    links = [(i, j) for i, a in sets.items() for j, b in sets.items() if i < j and a and b and 100 * len(a & b) >= 85 * len(a | b)]
+    links = [(i, j) for i, a in sets.items() for j, b in sets.items() if i < j and a and b and 100 * len(a & b) >= corpus_pipeline.PERCENT * len(a | b)]
     while True:
         old = dict(least)
         for i, j in links:
@@ -57,6 +57,33 @@ def test_one_of_each_group_stays(steps):
     assert sorted(r["doc_id"] for r in after.collect()) == sorted(set(least.values()))
 
 
+ODD = "doc_id long, text string, lang string, source string, n_chars long, score string, predicted string, Spans string, size string, position string, tl_turn string, id string"
+_SAID = "Plain prose that somebody wrote about the river and the town, with a few commas in it, and then some more of it."
+
+
+@pytest.mark.parametrize("rows", [0, 1])
+def test_stages_over_odd_rows(spark, rows):
+    """Nulls in any column, empty and very long texts, repeated rows, clashing columns, and no rows at all."""
+    more = ("s", "p", "sp", "z", "q", "t", "i")
+    texts = [(1, None), (2, ""), (3, " \t\n"), (None, _SAID), (4, _SAID), (4, _SAID), (5, f"{_SAID} password=hunter22 ends"), (6, "word and words " * 40_000), (7, _SAID.upper() + " AND MORE")]
+    docs = spark.createDataFrame([(i, t, None if i == 5 else "en", None if i in (5, 6) else "a", None, *more) for i, t in texts] * rows, ODD)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        got = out.collect()
+        assert out.columns == docs.columns and out.schema == docs.schema and all(tuple(r)[5:] == more for r in got)
+        if rows and stage is corpus_pipeline.keep_quality:
+            assert not {1, 2, 3} & {r["doc_id"] for r in got}
+        if rows and stage is corpus_pipeline.keep_distinct:
+            assert {r["doc_id"] for r in got} == {1, 2, 3, 4, 6, None, 7} - ({7} if len(_shingles(_SAID)) * 100 >= 80 * len(_shingles(_SAID + " and more")) else set())
+        if rows and stage is corpus_pipeline.mask_secrets:
+            assert len(got) == len(texts) and {r["text"] for r in got if r["doc_id"] == 5} == {f"{_SAID} [SECRET] ends"}
+        if rows and stage is corpus_pipeline.mix:
+            assert not {1, 2, 3} & {r["doc_id"] for r in got}
+    last = corpus_pipeline.encode(spark, docs, SF)
+    assert last.columns == ["doc_id", "lang", "source", "n_tokens", "ids"] and last.count() == len(texts) * rows
+    assert last.where("doc_id <= 2 and n_tokens > 0").count() == 0
+
+
 def test_near_copies_are_of_five_words(spark):
     words = [f"w{i}" for i in range(200)]
     other = [f"x{i}" if i in (20, 70, 120, 170) else w for i, w in enumerate(words)]  # 176 of 216 five-word runs, 181 of 213 of four words
