@@ -41,11 +41,11 @@ FEW = ((0, 1), (1, 3), (2, 5), (3, 6))
 #: (d, m) beyond that: up to MEDIUM differences, and for larger sets, whose signatures are many.
 MEDIUM, CUTS = 12, ((2, 4), (1, 3))
 #: Turns in which sets meet neighbours of their group, how many, and sets of a group that are put in one order together.
-TURNS, NEAR, STRETCH = 2, 3, 8192
+TURNS, NEAR, STRETCH = 1, 3, 8192
 #: Sets of a block.
 BLOCK = 256
 #: Words of 64 bits in a set's sketch, and in its folded form that goes through blocks.
-SKETCH, FOLDED = 16, 4
+SKETCH, FOLDED = 16, 8
 #: Set keys that a task remembers at most, so as not to sign one set again and again.
 REMEMBERED = 200_000
 
@@ -227,6 +227,11 @@ def _hashed(words: int):
     return run
 
 
+def _folded(size: int) -> list[Column]:
+    """The sketch folded to `size` words: parities over fewer, larger classes of elements."""
+    return [reduce(lambda x, y: x.bitwiseXOR(y), [F.col(s) for s in _PARITIES[i::size]]).alias(f) for i, f in enumerate(_FOLDS[:size])]
+
+
 def _may_link(percent: int, words: list[str]) -> Column:
     """Whether sizes and sketches of both sides (columns that end in _a and _b) leave a link possible."""
     allowed = F.floor((100 - percent) * (F.col("n_a") + F.col("n_b")) / (100 + percent))
@@ -273,9 +278,10 @@ class _Join:
         pairs = pairs.distinct()
         if self.tried is not None:
             pairs = pairs.join(self.tried, ["a", "b"], "left_anti")
-        for end in ("a", "b"):
-            pairs = pairs.join(_ended(self.classes, end, "n", *_PARITIES), end)
-        pairs = self.scratch(pairs.where(_may_link(self.percent, _PARITIES)).select("a", "b").distinct())
+        for words, bounded in ((_FOLDS[:2], self.classes.select("lo", "n", *_folded(2))), (_PARITIES, self.classes)):  # few bits rule most pairs out
+            for end in ("a", "b"):
+                pairs = pairs.join(_ended(bounded, end, "n", *words), end)
+            pairs = self.scratch(pairs.where(_may_link(self.percent, words)).select("a", "b").distinct())
         links = self.verified(pairs)
         self.tried = pairs if self.tried is None else self.scratch(self.tried.union(pairs))
         self.parts = components(links) if self.parts is None else self.merged(links)
@@ -312,16 +318,15 @@ class _Join:
     def across(self, held: DataFrame) -> DataFrame:
         """Pairs (a, b) of sets in one group and in different components that sizes and folded sketches leave possible.
 
-        A group of more than BLOCK sets is cut into blocks, and each set goes to the cells that its block makes with each
-        block of the group; so no task gets a whole large group. Bounds are part of the join: nothing else comes out.
+        A group of more than BLOCK sets is cut into blocks, and each set goes to the cells (p, q) that its block makes with
+        each block of the group; so no task gets a whole large group. Bounds are part of the join: nothing else comes out.
         """
-        folds = [reduce(lambda x, y: x.bitwiseXOR(y), [F.col(s) for s in _PARITIES[i::FOLDED]]).alias(f) for i, f in enumerate(_FOLDS)]
         held = held.withColumn("blocks", F.ceil(F.col("many") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("lo"), "blocks").cast("int"))
-        held = self.scratch(held.join(self.classes.select("lo", "n", *folds), "lo"))
+        held = self.scratch(held.join(self.classes.select("lo", "n", *_folded(FOLDED)), "lo"))
         held = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        one = _ended(held, "a", "part", "n", *_FOLDS, "sig", "block", "other")
-        two = _ended(held, "b", "part", "n", *_FOLDS, "sig", "block", "other")
-        cell = (F.col("sig_a") == F.col("sig_b")) & (F.col("block_a") == F.col("other_b")) & (F.col("other_a") == F.col("block_b"))
+        held = held.select("sig", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "lo", "part", "n", *_FOLDS)  # both sides alike: one shuffle
+        one, two = (_ended(held, end, "part", "n", *_FOLDS, "sig", "p", "q", "block") for end in "ab")
+        cell = (F.col("sig_a") == F.col("sig_b")) & (F.col("p_a") == F.col("p_b")) & (F.col("q_a") == F.col("q_b")) & ((F.col("p_a") == F.col("q_a")) | (F.col("block_a") != F.col("block_b")))
         return one.join(two, cell & (F.col("a") < F.col("b")) & (F.col("part_a") != F.col("part_b")) & _may_link(self.percent, _FOLDS)).select("a", "b")
 
     def run(self) -> DataFrame:

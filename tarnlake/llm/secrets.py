@@ -34,7 +34,7 @@ _SPAN = "array<struct<start:bigint,rank:int,end:bigint>>"
 STRIDE, PIECE = 32, 1024
 
 
-def sums_before(values: Column, levels: int = 4) -> Column:
+def sums_before(values: Column, levels: int = 2) -> Column:
     """For each number of an array, the sum of those before it.
 
     Blocks of STRIDE numbers are summed by themselves, and so are the blocks' totals, a level up; so the work is in
