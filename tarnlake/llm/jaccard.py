@@ -44,8 +44,9 @@ MEDIUM, CUTS = 12, ((2, 4), (1, 3))
 TURNS, NEAR, STRETCH = 1, 3, 8192
 #: Sets of a block.
 BLOCK = 256
-#: Words of 64 bits in a set's sketch, and in its folded form that goes through blocks.
-SKETCH, FOLDED = 16, 8
+#: Words of 64 bits in a set's sketch, and in its folded form that all pairs are bounded by first; bits of a wide sketch for
+#: each element at least.
+SKETCH, FOLDED, WIDE = 8, 2, 4
 #: Set keys that a task remembers at most, so as not to sign one set again and again.
 REMEMBERED = 200_000
 
@@ -160,6 +161,17 @@ def sketches(h: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.packbits(odd.reshape(-1, bits), 1).view(np.int64).reshape(-1, SKETCH)
 
 
+def wide_sketches(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parities in as many bits as a set's size asks for (a power of two), one set's words behind the other's, and where
+    they begin. A sketch's halves, joined by exclusive or, are the sketch of half the width."""
+    bits = 1 << np.maximum(6, np.ceil(np.log2(np.maximum(WIDE * n, 1)))).astype(np.int64)
+    base = np.cumsum(bits) - bits
+    row = np.repeat(np.arange(len(n)), n)
+    slot = base[row] + (mixed(h ^ _K) & (bits[row] - 1).astype(np.uint64)).astype(np.int64)
+    odd = (np.bincount(slot, minlength=int(bits.sum())) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64), np.append(base, bits.sum()) // 64
+
+
 def set_keys(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """128 bits of each set (0 for empty ones), as two arrays."""
     row = np.cumsum(n) - n
@@ -227,6 +239,32 @@ def _hashed(words: int):
     return run
 
 
+def _wide(words: int):
+    """node, bits: wide sketches of rows whose set has the key `node`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch, "text"):
+                h, n = shingles(*flat(piece.column(1)), words)
+                lo, _ = set_keys(h, n)
+                bits, at = wide_sketches(h, n)
+                same = pa.array(lo == piece.column(0).to_numpy(zero_copy_only=False))
+                lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(bits))
+                yield pa.RecordBatch.from_arrays([piece.column(0), lists], names=["node", "bits"]).filter(same)
+
+    return run
+
+
+def _bits_apart(a: Column, b: Column) -> Column:
+    """Bits in which two wide sketches differ, the wider one folded to the other's width first."""
+    size = F.least(F.size(a), F.size(b))
+
+    def fitted(x: Column) -> Column:
+        return F.when(F.size(x) > size, F.zip_with(F.slice(x, 1, size), F.slice(x, size + 1, size), lambda p, q: p.bitwiseXOR(q))).otherwise(x)
+
+    return F.aggregate(F.zip_with(fitted(a), fitted(b), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda acc, x: acc + x)
+
+
 def _folded(size: int) -> list[Column]:
     """The sketch folded to `size` words: parities over fewer, larger classes of elements."""
     return [reduce(lambda x, y: x.bitwiseXOR(y), [F.col(s) for s in _PARITIES[i::size]]).alias(f) for i, f in enumerate(_FOLDS[:size])]
@@ -253,6 +291,7 @@ class _Join:
         keyed = self.scratch(keyed)
         self.rows = keyed.select("id", "n", "lo", "hi")
         self.classes = self.scratch(keyed.where("n > 0 and id is not null").groupBy("lo", "hi").agg(F.min("id").alias("rep"), *[F.first(c).alias(c) for c in ("n", *_PARITIES)]))
+        self.repeated = self.scratch(self.rows.groupBy("id").agg(F.count(F.lit(1)).alias("many")).where("many > 1 and id is not null").select("id", F.lit(True).alias("again")))
         self.tried = self.parts = None
 
     def members(self) -> DataFrame:
@@ -263,22 +302,33 @@ class _Join:
         grouped = signed.select("sig", "lo", head.alias("head"), F.lead("lo").over(group).alias("next"))
         return self.scratch(grouped.where("(next is null or next <> lo) and (next is not null or head <> lo)").select("sig", "lo", "head"))
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """Of pairs (a, b) of set keys, those whose whole sets link. Only texts of sets in a pair are read into sets again."""
+    def of_nodes(self, pairs: DataFrame, run, schema: str) -> DataFrame:
+        """What `run` makes of the texts of the sets in pairs: only those are read into sets again, one text for a set."""
         nodes = pairs.select(F.col("a").alias("lo")).union(pairs.select(F.col("b").alias("lo"))).distinct()
-        wanted = self.scratch(nodes.join(self.classes, "lo").select("lo", F.col("rep").alias("id")))  # written, so its size decides how it is joined
-        sets = self.texts.join(wanted, "id").select("lo", "text").mapInArrow(_hashed(self.words), "node long, h array<long>")
-        sets = self.scratch(sets.dropDuplicates(["node"]))
+        wanted = nodes.join(self.classes, "lo").select("lo", F.col("rep").alias("id"))
+        wanted = self.scratch(wanted.join(self.repeated, "id", "left").select("lo", "id", F.coalesce("again", F.lit(False)).alias("again")))  # written, so its size decides how it is joined
+        texts = self.texts.join(wanted, "id")
+        once, more = texts.where("not again").select("lo", "text"), texts.where("again").select("lo", "text").dropDuplicates()
+        return once.union(more).mapInArrow(run, schema)
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """Of pairs (a, b) of set keys, those whose whole sets link; wide sketches rule out most others before."""
+        bits = self.of_nodes(pairs, _wide(self.words), "node long, bits array<long>")
+        for end in ("a", "b"):
+            pairs = pairs.join(_ended(self.classes, end, "n"), end).join(bits.select(F.col("node").alias(end), F.col("bits").alias(f"bits_{end}")), end)
+        allowed = F.floor((100 - self.percent) * (F.col("n_a") + F.col("n_b")) / (100 + self.percent))
+        pairs = self.scratch(pairs.where(_bits_apart(F.col("bits_a"), F.col("bits_b")) <= allowed).select("a", "b"))
+        sets = self.of_nodes(pairs, _hashed(self.words), "node long, h array<long>")
         both = pairs.join(sets.select(F.col("node").alias("a"), F.col("h").alias("ha")), "a").join(sets.select(F.col("node").alias("b"), F.col("h").alias("hb")), "b")
         common = F.size(F.array_intersect("ha", "hb"))
-        return self.scratch(both.where(100 * common >= self.percent * (F.size("ha") + F.size("hb") - common)).select("a", "b"))
+        return self.scratch(both.where(100 * common >= self.percent * (F.size("ha") + F.size("hb") - common)).select("a", "b").distinct())
 
     def link(self, pairs: DataFrame) -> None:
         """Verifies pairs (a < b) that haven't been yet, and joins the components of those that link."""
         pairs = pairs.distinct()
         if self.tried is not None:
             pairs = pairs.join(self.tried, ["a", "b"], "left_anti")
-        for words, bounded in ((_FOLDS[:2], self.classes.select("lo", "n", *_folded(2))), (_PARITIES, self.classes)):  # few bits rule most pairs out
+        for words, bounded in ((_FOLDS, self.classes.select("lo", "n", *_folded(FOLDED))), (_PARITIES, self.classes)):  # few bits rule most pairs out
             for end in ("a", "b"):
                 pairs = pairs.join(_ended(bounded, end, "n", *words), end)
             pairs = self.scratch(pairs.where(_may_link(self.percent, words)).select("a", "b").distinct())
@@ -316,18 +366,18 @@ class _Join:
         return placed.where("x.part <> part").select(F.least("x.lo", "lo").alias("a"), F.greatest("x.lo", "lo").alias("b"))
 
     def across(self, held: DataFrame) -> DataFrame:
-        """Pairs (a, b) of sets in one group and in different components that sizes and folded sketches leave possible.
+        """Pairs (a, b) of sets in one group and in different components that sizes and sketches leave possible.
 
         A group of more than BLOCK sets is cut into blocks, and each set goes to the cells (p, q) that its block makes with
         each block of the group; so no task gets a whole large group. Bounds are part of the join: nothing else comes out.
         """
         held = held.withColumn("blocks", F.ceil(F.col("many") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("lo"), "blocks").cast("int"))
-        held = self.scratch(held.join(self.classes.select("lo", "n", *_folded(FOLDED)), "lo"))
+        held = self.scratch(held.join(self.classes.select("lo", "n", *_PARITIES), "lo"))
         held = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        held = held.select("sig", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "lo", "part", "n", *_FOLDS)  # both sides alike: one shuffle
-        one, two = (_ended(held, end, "part", "n", *_FOLDS, "sig", "p", "q", "block") for end in "ab")
+        held = held.select("sig", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "lo", "part", "n", *_PARITIES)  # both sides alike: one shuffle
+        one, two = (_ended(held, end, "part", "n", *_PARITIES, "sig", "p", "q", "block") for end in "ab")
         cell = (F.col("sig_a") == F.col("sig_b")) & (F.col("p_a") == F.col("p_b")) & (F.col("q_a") == F.col("q_b")) & ((F.col("p_a") == F.col("q_a")) | (F.col("block_a") != F.col("block_b")))
-        return one.join(two, cell & (F.col("a") < F.col("b")) & (F.col("part_a") != F.col("part_b")) & _may_link(self.percent, _FOLDS)).select("a", "b")
+        return one.join(two, cell & (F.col("a") < F.col("b")) & (F.col("part_a") != F.col("part_b")) & _may_link(self.percent, _PARITIES)).select("a", "b")
 
     def run(self) -> DataFrame:
         """id, n, component_id of all rows."""
