@@ -48,45 +48,69 @@ def _gaps(symbols: list[tuple[int, int, list[Part]]], lines: _Lines) -> list[Par
     return out
 
 
-def _above(lines: _Lines, first: int) -> int:
-    """Where a symbol begins if the # comments directly above it are its own."""
-    at, chars = first, 0
-    while at > 1:
-        bare = lines.line(at - 1)
-        if not bare.startswith("#") or bare.startswith("#!") or bare.lower().startswith(("# coding", "# -*- coding")):
-            break
-        at -= 1
-        chars += len(lines.all[at - 1].rstrip("\n")) + 1
-        if first - at >= COMMENT_LINES or chars >= COMMENT_CHARS:
-            break
-    return at
-
-
-def _begin(node: ast.AST) -> int:
-    return min([node.lineno, *(d.lineno for d in getattr(node, "decorator_list", []))])
-
-
-def _method_display(owner: str, line: str) -> str:
-    line = line.rstrip(":").strip() if line else ""
-    for word in ("async def ", "def "):
-        if line.startswith(word):
-            return f"{word.removesuffix('def ')}{owner}.{line.removeprefix(word).strip()}"
-    return f"{owner}.{line}"
-
-
-def _class_parts(node: ast.ClassDef, first: int, lines: _Lines) -> list[Part]:
-    doc = ast.get_docstring(node) or ""
-    inner = node.body[1:] if doc else node.body
-    methods = [c for c in node.body if isinstance(c, _FUNCTIONS)]
-    body = [lines.text(first, node.lineno), doc.strip(), *(lines.text(_begin(c), c.end_lineno) for c in inner if not isinstance(c, _FUNCTIONS))]
-    if methods:
-        body.append("Methods: " + ", ".join(m.name for m in methods))
-    text = "\n".join(filter(None, body)).strip()
-    out: list[Part] = [(lines.line(node.lineno) or f"class {node.name}", text, first, node.end_lineno)] if text else []
-    for m in methods:
-        start = _above(lines, _begin(m))
-        if body_text := lines.text(start, m.end_lineno):
-            out.append((_method_display(node.name, lines.line(m.lineno) or m.name), body_text, start, m.end_lineno))
+class _Comments:
+    """Runs of whole-line comments: for a line, where the run that ends right above it begins.
+
+    A line that names an interpreter or an encoding ends a run, and is no part of it.
+    """
+
+    _HEAD = re.compile(r"#!|# (?:-\*- )?coding", re.I)
+
+    def __init__(self, lines: _Lines):
+        self.above = [0] * (len(lines) + 2)  # comment lines directly above each line
+        self.sizes = [0]  # characters of all lines up to each
+        for k, line in enumerate(lines.all, 1):
+            bare = line.strip()
+            own = bare.startswith("#") and not self._HEAD.match(bare)
+            self.above[k + 1] = self.above[k] + 1 if own else 0
+            self.sizes.append(self.sizes[-1] + len(line.rstrip("\n")) + 1)
+
+    def start(self, first: int) -> int:
+        """`first`, or up to COMMENT_LINES lines before it; the one that reaches COMMENT_CHARS is the last taken."""
+        at = first - min(self.above[first], COMMENT_LINES)
+        while at + 1 < first and self.sizes[first - 1] - self.sizes[at] >= COMMENT_CHARS:
+            at += 1
+        return at
+
+
+class _Symbol:
+    """A definition with its decorators, and the comments above them if it is to have those."""
+
+    def __init__(self, node: ast.AST, comments: _Comments | None = None):
+        decorators = getattr(node, "decorator_list", ())
+        begin = min((d.lineno for d in decorators), default=node.lineno)
+        self.node, self.first, self.last = node, comments.start(min(begin, node.lineno)) if comments else min(begin, node.lineno), node.end_lineno
+
+    def signature(self, lines: _Lines, without: str) -> str:
+        return lines.line(self.node.lineno) or without
+
+    def part(self, lines: _Lines, display: str) -> list[Part]:
+        text = lines.text(self.first, self.last)
+        return [(display, text, self.first, self.last)] if text else []
+
+
+_DEF = re.compile(r"(?P<kind>async )?def (?P<rest>.*)", re.S)
+
+
+def _qualified(owner: str, signature: str) -> str:
+    """A method's signature with the class before its name, for instance `async C.go(self)`."""
+    bare = signature.rstrip(":").strip()
+    m = _DEF.match(bare)
+    return f"{m['kind'] or ''}{owner}.{m['rest'].strip()}" if m else f"{owner}.{bare}"
+
+
+def _class_parts(symbol: _Symbol, lines: _Lines, comments: _Comments) -> list[Part]:
+    """The class (head, docstring, what isn't a method, names of the methods), then each method."""
+    node, doc = symbol.node, ast.get_docstring(symbol.node)
+    methods = [x for x in node.body if isinstance(x, _FUNCTIONS)]
+    rest = [_Symbol(x) for x in node.body[bool(doc) :] if x not in methods]
+    pieces = [lines.text(symbol.first, node.lineno), (doc or "").strip()]
+    pieces += [lines.text(x.first, x.last) for x in rest]
+    pieces += ["Methods: " + ", ".join(x.name for x in methods)] * bool(methods)
+    text = "\n".join(x for x in pieces if x).strip()
+    out: list[Part] = [(symbol.signature(lines, f"class {node.name}"), text, symbol.first, symbol.last)] * bool(text)
+    for method in (_Symbol(x, comments) for x in methods):
+        out += method.part(lines, _qualified(node.name, method.signature(lines, method.node.name)))
     return out
 
 
@@ -98,16 +122,14 @@ def python_chunks(source: str) -> list[Part]:
     except (SyntaxError, ValueError, RecursionError, MemoryError):
         return []
     lines = _Lines(source)
+    comments = _Comments(lines)
     symbols = []
-    for node in tree.body:
-        if isinstance(node, (*_FUNCTIONS, ast.ClassDef)):
-            first = _above(lines, _begin(node))
-            if isinstance(node, ast.ClassDef):
-                parts = _class_parts(node, first, lines)
-            else:
-                text = lines.text(first, node.end_lineno)
-                parts = [(lines.line(node.lineno) or f"def {node.name}", text, first, node.end_lineno)] if text else []
-            symbols.append((first, node.end_lineno, parts))
+    for symbol in (_Symbol(x, comments) for x in tree.body if isinstance(x, (*_FUNCTIONS, ast.ClassDef))):
+        if isinstance(symbol.node, ast.ClassDef):
+            parts = _class_parts(symbol, lines, comments)
+        else:
+            parts = symbol.part(lines, symbol.signature(lines, f"def {symbol.node.name}"))
+        symbols.append((symbol.first, symbol.last, parts))
     return _gaps(sorted(symbols, key=lambda s: s[0]), lines)
 
 

@@ -193,6 +193,31 @@ def test_outline(spark):
     assert chunks(spark, [("x.md", MARKDOWN), ("y.md", "plain")], "outline")[-1][2] == "y.md [#1] :: plain"
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("````\n```\n# no\n````\n# Yes", [("preamble", 1, 4), ("Yes", 5, 5)]),
+        ("```\n~~~\n# no\n", []),
+        ("```~~\n# no\n```\n# Yes #\n", [("preamble", 1, 3), ("Yes", 4, 4)]),
+        ("    ~~~\n# no\n  ~~~~\nT\n---\n", [("preamble", 1, 3), ("T", 4, 5)]),
+        ("#tag\n---\ntext\n===\n---\n## \n### C ###\n", [("preamble", 1, 2), ("text", 3, 7), ("text > C", 7, 7)]),
+        ("---\nnever closed\n# A\n## B\n# C\n", [("preamble", 1, 2), ("A", 3, 4), ("A > B", 4, 4), ("C", 5, 5)]),
+        ("", []),
+    ],
+)
+def test_outline_rules(text, want):
+    assert [(c, a, b) for c, _, a, b in outline_chunks("x.md", text)] == want
+
+
+def test_comments_above_a_symbol():
+    few = "#!/bin/x\n# coding: utf-8\n# one\n# two\ndef f():\n    pass\n"
+    assert [p[2:] for p in python_chunks(few)] == [(1, 2), (3, 6)]
+    many = "\n".join(f"# {i}" for i in range(14)) + "\ndef f():\n    pass\n"
+    assert python_chunks(many)[-1][2] == 5
+    wide = "\n".join(["# " + "x" * 300] * 4) + "\ndef f():\n    pass\n"
+    assert python_chunks(wide)[-1][2] == 3
+
+
 PYTHON = '''import os
 
 # about f
