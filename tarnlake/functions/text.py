@@ -101,15 +101,20 @@ def keywords(text: Column, limit: int = KEYWORDS) -> Column:
     latin = F.filter(matches(text, r"[A-Za-z][A-Za-z0-9_-]+"), lambda w: (F.length(w) >= 3) & ~F.lower(w).isin(*STOPWORDS))
     chinese = F.filter(matches(text, r"[一-鿿]{2,}"), lambda w: ~w.isin(*STOPWORDS_ZH))
 
-    def ranked(x: Column) -> Column:
-        return F.transform(
-            F.array_distinct(x["keys"]),
-            lambda k: F.struct((-F.size(F.filter(x["keys"], lambda y: y == k))).alias("n"), F.array_position(x["keys"], k).alias("at")),
-        )
+    def ranked(keys: Column) -> Column:
+        """(-count, first place) of each key, from runs of equal keys in sorted order."""
+
+        def runs(s: Column) -> Column:
+            places = F.sequence(F.lit(0), F.size(s) - 1)
+            heads = F.filter(places, lambda i: (i == 0) | (F.get(s, i)["key"] != F.get(s, i - 1)["key"]))
+            ends = let(heads, lambda h: F.zip_with(h, F.concat(F.slice(h, 2, F.size(h)), F.array(F.size(s))), lambda a, b: F.struct((a - b).alias("n"), F.get(s, a)["at"].alias("at"))))
+            return F.when(F.size(s) > 0, ends)
+
+        return let(F.array_sort(F.transform(keys, lambda k, i: F.struct(k.alias("key"), (i + 1).alias("at")))), runs)
 
     def best(found: Column) -> Column:
         both = F.struct(found.alias("found"), F.transform(found, F.lower).alias("keys"))
-        return let(both, lambda x: F.transform(F.slice(F.array_sort(ranked(x)), 1, limit), lambda r: F.element_at(x["found"], r["at"].cast("int"))))
+        return let(both, lambda x: F.transform(F.slice(F.array_sort(F.coalesce(ranked(x["keys"]), F.array().cast("array<struct<n:int,at:int>>"))), 1, limit), lambda r: F.element_at(x["found"], r["at"].cast("int"))))
 
     return let(F.concat(latin, chinese), best)
 

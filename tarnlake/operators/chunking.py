@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tarnlake.functions import text as T
 from tarnlake.operators.codeparse import code_chunks
 from tarnlake.operators.outline import outline_chunks
+from tarnlake.operators.shared import saved
 
 SIZE, OVERLAP = 1000, 100
 #: Characters of a file that are looked at.
@@ -207,7 +208,7 @@ def uses_code_chunking(mode: str, path: Column) -> Column:
 def position(chunks: DataFrame) -> DataFrame:
     """Adds position: the order of chunks by path, then chunk_index, from 0, without a window over all rows."""
     sizes = chunks.groupBy("path").agg(F.count(F.lit(1)).alias("tl_n"))
-    ranged = sizes.repartitionByRange("path").sortWithinPartitions("path").withColumn("tl_part", F.spark_partition_id()).persist()
+    ranged = saved(sizes.repartitionByRange("path").withColumn("tl_part", F.spark_partition_id()))
     before, total = {}, 0
     for row in ranged.groupBy("tl_part").agg(F.sum("tl_n").alias("n")).orderBy("tl_part").collect():
         before[row["tl_part"]] = total

@@ -14,11 +14,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnlake.functions import text as T
+from tarnlake.operators.shared import saved
 
 K1, B = 1.5, 0.75
 RRF_K, DENSE_WEIGHT, LEXICAL_WEIGHT = 60, 0.7, 0.3
 MOST_TERMS = 32
 BM25L_DELTA = 0.5
+PLACES = 9
 
 
 def document(rel_path: Column, label: Column) -> Column:
@@ -72,12 +74,13 @@ def _is(term: str) -> Callable[[Column], Column]:
 
 def bm25_direct(df: DataFrame, terms: Sequence[str], key: str, tokens: str = "tokens", length: str = "doc_len", stats: DataFrame | None = None) -> DataFrame:
     """The same scores for texts that have no stored postings: counts of the query terms in each row, no explode and no
-    shuffle of rows. One pass makes the statistics (a single row), one scores."""
+    shuffle of rows. Counts are written once; one pass over them makes the statistics (a single row), one scores."""
     terms = list(dict.fromkeys(terms))[:MOST_TERMS]
     if not terms:
         return df.select(key, F.lit(0.0).alias("bm25")).limit(0)
-    counts = [F.size(F.filter(tokens, _is(t))) for t in terms]
-    counted = df.select(key, length, F.array(*counts).alias("tfs"))
+    held = F.filter(tokens, lambda x: x.isin(*terms))  # few of a text's tokens, which are gone through once
+    counts = T.let(held, lambda x: F.array(*[F.size(F.filter(x, _is(t))) for t in terms]))
+    counted = saved(df.select(key, length, counts.alias("tfs")))  # narrow, and read twice: texts are tokenized once
     known = [F.sum((F.col("tfs")[i] > 0).cast("long")).alias(f"df_{i}") for i in range(len(terms))]
     own = [F.count(F.lit(1)).alias("doc_count"), (F.sum(length) / F.count(F.lit(1))).alias("avg_doc_len")] if stats is None else []
     summary = counted.agg(*known, *own)
@@ -127,9 +130,10 @@ def over_largest(df: DataFrame, score: str, name: str) -> DataFrame:
 
 
 def top(df: DataFrame, score: str, key: str, k: int) -> DataFrame:
-    """The k best rows with their rank from 1: a top-k of each partition, then one of those."""
-    best = df.orderBy(F.desc(score), key).limit(k)
-    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(score), key)))
+    """The k best rows with their rank from 1: a top-k of each partition, then one of those. Scores that agree to PLACES
+    decimal places are ties: sums of doubles differ in the last bits with the order of their parts."""
+    order = [F.desc(F.round(score, PLACES)), F.col(key)]
+    return df.orderBy(*order).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
 def _ranks(df: DataFrame, score: str, key: str, name: str, among: DataFrame) -> DataFrame:
@@ -138,13 +142,14 @@ def _ranks(df: DataFrame, score: str, key: str, name: str, among: DataFrame) ->
     No window over all rows: rows are range-partitioned by score, ranked within their partition, and the number of rows
     in the partitions before is added. Only these numbers, one for each partition, come to the driver.
     """
-    ordered = df.select(key, score).repartitionByRange(F.desc(score), key).sortWithinPartitions(F.desc(score), key)
-    placed = ordered.withColumn("tl_part", F.spark_partition_id()).persist()
+    order = [F.desc(F.round(score, PLACES)), F.col(key)]
+    ordered = df.select(key, score).repartitionByRange(*order).withColumn("tl_part", F.spark_partition_id())
+    placed = saved(ordered)  # written: bounds sampled anew, after a loss, would not fit the offsets
     before, running = {}, 0
     for row in placed.groupBy("tl_part").count().orderBy("tl_part").collect():
         before[row["tl_part"]] = running
         running += row["count"]
-    within = F.row_number().over(Window.partitionBy("tl_part").orderBy(F.desc(score), key))
+    within = F.row_number().over(Window.partitionBy("tl_part").orderBy(*order))
     offsets = F.create_map(*[F.lit(x).cast("long") for item in before.items() for x in item]) if before else F.create_map(F.lit(0).cast("long"), F.lit(0).cast("long"))
     ranked = placed.withColumn(name, within + F.element_at(offsets, F.col("tl_part").cast("long"))).select(key, name)
     return ranked.join(among.select(key), key, "left_semi")
@@ -159,7 +164,7 @@ def fuse(dense: DataFrame, lexical: DataFrame, key: str, k: int | None = None) -
     matched = lexical.where("bm25 > 0").join(dense.select(key), key, "left_semi")
     among = dense.select(key)
     if k is not None:
-        among = dense.orderBy(F.desc("dense"), key).limit(k).select(key).union(matched.select(key)).distinct()
+        among = dense.orderBy(F.desc(F.round("dense", PLACES)), key).limit(k).select(key).union(matched.select(key)).distinct()
     first = _ranks(dense, "dense", key, "dense_rank", among)
     second = _ranks(matched, "bm25", key, "bm25_rank", matched)
     one, two = DENSE_WEIGHT * (RRF_K + 1.0), LEXICAL_WEIGHT * (RRF_K + 1.0)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tarnlake.functions import text as T
 from tarnlake.operators import chunking, collections, filters, maintenance, ranking
+from tarnlake.operators.shared import shared_dir, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,7 +32,7 @@ def registered(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 _PIECE = r"'[^\s\p{Z}\x0B\x85\p{P}$+<=>^\x60\x7C~]+'"
@@ -92,7 +93,7 @@ def _bm25(docs: DataFrame) -> DataFrame:
     return best.select("rank", "doc_id", F.round("bm25", 6).alias("score"))
 
 
-_RANKED = f"SELECT row_number() OVER (ORDER BY score DESC, doc_id)::INT AS rank, doc_id, round(score, 6) AS score FROM bm25 ORDER BY score DESC, doc_id LIMIT {TOP}"
+_RANKED = f"SELECT row_number() OVER (ORDER BY round(score, 9) DESC, doc_id)::INT AS rank, doc_id, round(score, 6) AS score FROM bm25 ORDER BY round(score, 9) DESC, doc_id LIMIT {TOP}"
 
 
 @registered(f"WITH {bm25_sql('documents')} {_RANKED}")
@@ -126,7 +127,7 @@ vn AS (SELECT vec_id, list_transform(v, lambda x: x / CASE WHEN n = 0 THEN 1 ELS
 dn AS (SELECT vec_id, list_dot_product(v, qv) AS dense FROM vn, qn)"""
 
 
-@registered(f"WITH {_DENSE} SELECT row_number() OVER (ORDER BY dense DESC, vec_id)::INT AS rank, vec_id, round(dense, 6) AS score FROM dn ORDER BY dense DESC, vec_id LIMIT {TOP}")
+@registered(f"WITH {_DENSE} SELECT row_number() OVER (ORDER BY round(dense, 9) DESC, vec_id)::INT AS rank, vec_id, round(dense, 6) AS score FROM dn ORDER BY round(dense, 9) DESC, vec_id LIMIT {TOP}")
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").withColumn("unit", ranking.normalized(F.col("embedding")))
     scores = ranking.dense_scores(vectors, ranking.unit(_query_vector(spark, sf_dir)), "vec_id", "unit")
@@ -140,10 +141,10 @@ def l2_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _fused_sql(lexical: str) -> str:
     return f"""WITH {_DENSE}, both_ AS (SELECT d.* FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id), {bm25_sql(lexical)},
-dr AS (SELECT doc_id, row_number() OVER (ORDER BY dense DESC, doc_id) AS r FROM dn JOIN both_ ON doc_id = vec_id),
-lr AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM bm25 SEMI JOIN both_ USING (doc_id) WHERE score > 0),
+dr AS (SELECT doc_id, row_number() OVER (ORDER BY round(dense, 9) DESC, doc_id) AS r FROM dn JOIN both_ ON doc_id = vec_id),
+lr AS (SELECT doc_id, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS r FROM bm25 SEMI JOIN both_ USING (doc_id) WHERE score > 0),
 fs AS (SELECT dr.doc_id, 0.7::DOUBLE * 61 / (60 + dr.r) + coalesce(0.3::DOUBLE * 61 / (60 + lr.r), 0) AS score FROM dr LEFT JOIN lr USING (doc_id))
-SELECT row_number() OVER (ORDER BY score DESC, doc_id)::INT AS rank, doc_id, round(score, 6) AS score FROM fs ORDER BY score DESC, doc_id LIMIT {TOP}"""
+SELECT row_number() OVER (ORDER BY round(score, 9) DESC, doc_id)::INT AS rank, doc_id, round(score, 6) AS score FROM fs ORDER BY round(score, 9) DESC, doc_id LIMIT {TOP}"""
 
 
 def _fused(spark: SparkSession, sf_dir: str, whole: bool) -> DataFrame:
@@ -486,8 +487,7 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a stream of records, put into a collection until nothing more is there."""
     from tarnlake.streaming.stream import upsert_stream
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tarnlake-")
-    root = f"{root}/stream-{spark.sparkContext.applicationId}-{F.lit(1)._jc.hashCode()}"
+    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     read = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
     meta = F.create_map(F.lit("value"), filters.number_value(F.col("value")))
     rows = read.select(F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("id"), F.concat_ws(" ", "event_type", "props").alias("text"), meta.alias("metadata"), F.col("event_id").cast("long").alias("seq"))
@@ -512,7 +512,7 @@ def rerank_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(k, ranking.candidates(k)) for k in (1, 9, 10, 11, 50, 75, 100, 200)], "k int, candidates int")
 
 
-@registered(f"WITH {bm25_sql('documents')}, t AS (SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) - 1 AS p FROM bm25 QUALIFY p < 20), r AS (SELECT doc_id, p, CASE WHEN p % 3 = 0 THEN -p END AS place FROM t) SELECT row_number() OVER (ORDER BY place NULLS LAST, p)::INT AS rank, doc_id FROM r")
+@registered(f"WITH {bm25_sql('documents')}, t AS (SELECT doc_id, score, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) - 1 AS p FROM bm25 QUALIFY p < 20), r AS (SELECT doc_id, p, CASE WHEN p % 3 = 0 THEN -p END AS place FROM t) SELECT row_number() OVER (ORDER BY place NULLS LAST, p)::INT AS rank, doc_id FROM r")
 def rank_apply_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A reranker that names every third of 20 results, from the last, one twice and one that isn't there."""
     held = ranking.with_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), F.col("text"))
