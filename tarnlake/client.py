@@ -150,7 +150,7 @@ class Client:
     def catalog(self) -> list[dict]:
         """What is indexed, newest first."""
         top = Files(self.spark, f"{self.data_dir}/indexes")
-        found = [json.loads(x) for x in (top.read(f"{k}/pointer.json") for k in top.folders()) if x]
+        found = [json.loads(x) | {"version": v} for v, x in map(top.pointer, top.folders()) if x]
         return sorted(found, key=lambda x: x["generated_at"], reverse=True)
 
     def _stored(self, entry: Mapping[str, Any], table: str) -> DataFrame:
@@ -167,7 +167,8 @@ class Client:
         if not count:
             return IndexResult("empty")
         key = index_key(str(root), o)
-        entry = next((e for e in self.catalog() if e["key"] == key and e["model"] == self.embedder.model), None)
+        base = next((e for e in self.catalog() if e["key"] == key), None)
+        entry = base if base and base["model"] == self.embedder.model else None
         if entry:
             cached = self._stored(entry, "files")
             rename = lambda df: df.withColumnRenamed("path", "rel_path")
@@ -180,10 +181,10 @@ class Client:
                 old = self._stored(entry, "chunks")
                 kept = old.join(same, "path", "left_semi").drop("position")
                 made = chunk_frame(scanning.read_texts(files.join(same, "path", "left_anti")), o, self.embedder, old)
-                return self._write(key, root, o, files, count, kept.unionByName(made.select(*kept.columns)))
-        return self._write(key, root, o, files, count, chunk_frame(scanning.read_texts(files), o, self.embedder))
+                return self._write(key, base, root, o, files, count, kept.unionByName(made.select(*kept.columns)))
+        return self._write(key, base, root, o, files, count, chunk_frame(scanning.read_texts(files), o, self.embedder))
 
-    def _write(self, key: str, root: Path, o: Options, files: DataFrame, count: int, chunks: DataFrame) -> IndexResult:
+    def _write(self, key: str, base: Mapping[str, Any] | None, root: Path, o: Options, files: DataFrame, count: int, chunks: DataFrame) -> IndexResult:
         generation = f"g{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
         at = f"{self.data_dir}/indexes/{key}/{generation}"
         names = [f.name for f in self.spark.createDataFrame([], CHUNKS).schema]
@@ -192,12 +193,8 @@ class Client:
         size = self.spark.read.schema(CHUNKS).parquet(f"{at}/chunks").select(F.max(F.size("embedding"))).first()[0]
         entry = {"key": key, "root": str(root), "model": self.embedder.model, "dimension": size, "generation": generation, "generated_at": time.time(), "file_count": count} | asdict(o)
         store = self._files(key)
-        old = store.read("pointer.json")
-        store.write("pointer.json", json.dumps(entry))
-        keep = {generation, json.loads(old)["generation"] if old else ""}
-        for g in store.folders():
-            if g not in keep:
-                store.delete(g)
+        store.move(base["version"] if base else 0, json.dumps(entry))
+        store.clean({generation, base["generation"] if base else ""})
         return IndexResult("stored", count)
 
     def index_in_memory(self, path: str = ".", **options: Any) -> InMemoryIndex:

@@ -16,6 +16,7 @@ from datetime import UTC, datetime
 from typing import Any
 
 import pandas as pd
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +25,8 @@ from tarnlake.operators import ranking as R
 from tarnlake.operators.filters import METADATA, CollectionError, encoded_metadata, predicate
 
 SCHEMA_VERSION = 1
+#: Seconds after which a generation that no pointer names, or a claim, is taken to be left over.
+STALE = 6 * 3600.0
 RECORDS = f"record_id long, record_key string, text string, text_hash string, metadata {METADATA}, embedding array<float>, tokens array<string>, doc_len int, updated_at timestamp"
 
 
@@ -72,6 +75,7 @@ class Info:
     generation: str | None = None
     next_id: int = 1
     count: int = 0
+    version: int = 0
 
 
 @dataclass(frozen=True)
@@ -103,17 +107,52 @@ class Files:
         finally:
             stream.close()
 
-    def write(self, name: str, text: str) -> None:
-        """Under another name first, so that a reader finds the old file or the new one."""
-        fs, fresh = self.fs(), self.path(f"{name}.{uuid.uuid4().hex}")
+    def _listed(self, folder: str, start: str) -> list[Any]:
+        fs, path = self.fs(), self.path(folder)
+        return sorted((x for x in fs.listStatus(path) if x.getPath().getName().startswith(start)), key=lambda x: x.getPath().getName()) if fs.exists(path) else []
+
+    def pointer(self, folder: str = "") -> tuple[int, str | None]:
+        """Version and content of the newest pointer; 0 and None where there is none."""
+        for found in reversed(self._listed(folder, "pointer-")):
+            name = found.getPath().getName()
+            if (text := self.read(f"{folder}/{name}" if folder else name)) is not None:
+                return int(name.split("-")[1].split(".")[0]), text
+        return 0, None
+
+    def move(self, base: int, text: str) -> None:
+        """Makes version `base` + 1 of the pointer, if `base` is the newest one still; CollectionError otherwise.
+
+        A version is claimed by a file that only one writer can create, and appears whole, by a rename; the version
+        before stays, so there is a pointer at any time. The claim of a writer that was lost counts for STALE seconds.
+        """
+        fs, name = self.fs(), f"{base + 1:012d}"
+        claim, fresh = self.path(f"claim-{name}"), self.path(f"new-{name}.{uuid.uuid4().hex}")
+        try:
+            if fs.exists(claim) and self.pointer()[0] == base and time.time() - fs.getFileStatus(claim).getModificationTime() / 1000 > STALE:
+                fs.delete(claim, False)
+            fs.create(claim, False).close()
+        except Py4JJavaError as e:
+            raise CollectionError(f"another writer has changed {self.root}; read it again") from e
+        if self.pointer()[0] != base:
+            fs.delete(claim, False)
+            raise CollectionError(f"another writer has changed {self.root}; read it again")
         out = fs.create(fresh, True)
         try:
             out.write(bytearray(text, "utf-8"))
         finally:
             out.close()
-        fs.delete(self.path(name), False)
-        if not fs.rename(fresh, self.path(name)):
-            raise OSError(f"can't move the pointer of {self.root}/{name}")
+        if not fs.rename(fresh, self.path(f"pointer-{name}.json")):
+            raise OSError(f"can't move the pointer of {self.root}")
+        for old in self._listed("", "pointer-")[:-2]:  # readers that have begun may hold the one before
+            number = old.getPath().getName()[len("pointer-") : -len(".json")]
+            fs.delete(old.getPath(), False)
+            fs.delete(self.path(f"claim-{number}"), False)
+
+    def clean(self, keep: set[str]) -> None:
+        """Deletes generations that aren't kept and that no writer can be at work on, by their age."""
+        for name in self.folders():
+            if name not in keep and name[1:21].isdigit() and time.time() - int(name[1:21]) / 1e9 > STALE:
+                self.delete(name)
 
     def delete(self, name: str) -> bool:
         fs, path = self.fs(), self.path(name)
@@ -202,8 +241,8 @@ class Collection:
     # -- state
 
     def info(self) -> Info | None:
-        said = self.files.read("pointer.json")
-        return Info(**json.loads(said)) if said else None
+        version, said = self.files.pointer()
+        return replace(Info(**json.loads(said)), version=version) if said else None
 
     def _checked(self, info: Info | None) -> Info | None:
         if info and (info.provider, info.model) != (self.embedder.provider, self.embedder.model):
@@ -227,11 +266,13 @@ class Collection:
             raise CollectionError(f"collection {self.name} has dimension {dimension}, not {row['low'] if row['low'] != dimension else row['high']}")
         old = info.generation
         info = replace(info, generation=name, dimension=dimension, next_id=max(info.next_id, (row["top"] or 0) + 1), count=row["n"])
-        self.files.write("pointer.json", json.dumps(asdict(info)))
-        for g in self.files.folders():  # the generation before stays for readers that have begun
-            if g not in (name, old):
-                self.files.delete(g)
-        return info
+        try:
+            self.files.move(info.version, json.dumps(asdict(info)))
+        except CollectionError:
+            self.files.delete(name)
+            raise
+        self.files.clean({name, old or ""})
+        return replace(info, version=info.version + 1)
 
     # -- writing
 
@@ -261,7 +302,7 @@ class Collection:
         try:
             self._publish(info, merged(old, records, info.next_id, self.embedder))
         except Exception:
-            if new:
+            if new and not self.info():  # another writer may have made it meanwhile
                 self.files.delete("")
             raise
         return UpsertReport(row["n"], row["n"] - same, same)
@@ -270,11 +311,14 @@ class Collection:
         return self.delete_many([id]) > 0
 
     def delete_many(self, ids: Sequence[str]) -> int:
+        return self.delete_frame(self.spark.createDataFrame([(i,) for i in dict.fromkeys(ids)], "record_key string")) if ids else 0
+
+    def delete_frame(self, gone: DataFrame) -> int:
+        """Deletes the records with the keys (record_key) of a frame of any size; how many there were."""
         info = self.info()
-        if not info or not ids:
+        if not info:
             return 0
-        gone = self.spark.createDataFrame([(i,) for i in dict.fromkeys(ids)], "record_key string")
-        kept = self.records(info).join(gone, "record_key", "left_anti")
+        kept = self.records(info).join(gone.select("record_key"), "record_key", "left_anti")
         after = self._publish(info, kept.select(*[f.name for f in self.records(info).schema]))
         return info.count - after.count
 
@@ -326,7 +370,7 @@ def record_of(row: Any) -> dict:
 
 def list_collections(spark: SparkSession, data_dir: str) -> list[Info]:
     files = Files(spark, f"{data_dir.rstrip('/')}/collections")
-    found = (files.read(f"{f}/pointer.json") for f in files.folders())
+    found = (files.pointer(f)[1] for f in files.folders())
     return sorted((Info(**json.loads(x)) for x in found if x), key=lambda i: i.name)
 
 

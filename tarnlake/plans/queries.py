@@ -440,6 +440,12 @@ def _generation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collections.merged(first, again.select("record_key", "text", "metadata"), 10**9, collections.LETTERS)
 
 
+def _stored(spark: SparkSession, sf_dir: str) -> collections.Collection:
+    out = collections.Collection(spark, f"{shared_dir(spark)}/turns-{uuid.uuid4().hex}", "turns")
+    out.upsert_frame(turns(spark, sf_dir).select("record_key", "text", "metadata"))
+    return out
+
+
 _TURNS = "c AS (SELECT conv_id || '-' || turn AS record_key, conv_id, turn, role, CASE WHEN conv_id % 3 = 0 AND turn % 2 = 0 THEN text || ' again' ELSE text END AS text FROM conversations)"
 
 
@@ -451,27 +457,25 @@ def upsert_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered("SELECT count(*) AS written, count(*) FILTER (WHERE turn % 2 = 0) AS embedded, count(*) FILTER (WHERE turn % 2 <> 0) AS skipped FROM conversations WHERE conv_id % 3 = 0")
 def upsert_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    had = turns(spark, sf_dir).select("record_key", F.sha1("text").alias("h"))
+    """What an upsert over a stored collection reports."""
     again = turns(spark, sf_dir).where("conv_id % 3 = 0").withColumn("text", F.when(F.col("turn") % 2 == 0, F.concat("text", F.lit(" again"))).otherwise(F.col("text")))
-    same = again.join(had, "record_key", "left").select((F.sha1("text") == F.col("h")).alias("same"))
-    return same.agg(F.count(F.lit(1)).alias("written"), F.sum((~F.col("same")).cast("long")).alias("embedded"), F.sum(F.col("same").cast("long")).alias("skipped"))
+    r = _stored(spark, sf_dir).upsert_frame(again.select("record_key", "text", "metadata"))
+    return spark.createDataFrame([(r.written, r.embedded, r.skipped)], "written long, embedded long, skipped long")
 
 
 @registered("SELECT conv_id || '-' || turn AS record_key FROM conversations WHERE NOT (role = 'user' AND conv_id % 4 = 1)")
 def delete_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A generation without the records that a filter names; vectors and tokens go with them."""
-    records = turns(spark, sf_dir)
-    gone = records.where(filters.predicate({"role": "user"})).where("conv_id % 4 = 1").select("record_key")
-    return records.join(gone, "record_key", "left_anti").select("record_key")
+    """A stored collection without the records that a filter names; vectors and tokens go with them."""
+    into = _stored(spark, sf_dir)
+    into.delete_frame(into.records().where(filters.predicate({"role": "user"})).where("cast(split(record_key, '-')[0] as bigint) % 4 = 1"))
+    return into.records().where("embedding is not null").select("record_key")
 
 
 @registered(f"WITH {_TURNS}, k AS (SELECT unnest(['5-1', 'none', '0-0', '5-1', '3-0', '1-0']) AS record_key, generate_subscripts(['5-1', 'none', '0-0', '5-1', '3-0', '1-0'], 1) - 1 AS i), o AS (SELECT record_key, min(i) AS i FROM k GROUP BY record_key) SELECT row_number() OVER (ORDER BY i)::INT AS place, record_key, role FROM o JOIN c USING (record_key)")
 def get_many_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    asked = spark.createDataFrame([(k, i) for i, k in enumerate(dict.fromkeys(["5-1", "none", "0-0", "5-1", "3-0", "1-0"]))], "record_key string, i int")
-    found = turns(spark, sf_dir).join(F.broadcast(asked), "record_key")
-    return found.select(F.row_number().over(Window.orderBy("i")).alias("place"), "record_key", F.col("metadata")["role"]["text"].alias("role"))
+    """Records of a stored collection in the order asked for, each once."""
+    found = _stored(spark, sf_dir).get_many(["5-1", "none", "0-0", "5-1", "3-0", "1-0"])
+    return spark.createDataFrame([(i, r["id"], r["metadata"]["role"]) for i, r in enumerate(found, 1)], "place int, record_key string, role string")
 
 
 @registered()
@@ -482,7 +486,8 @@ def collection_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("rank", "record_id", F.round("score", 6).alias("score"))
 
 
-@registered()
+@registered("""SELECT 'user-' || user_id AS record_key, sha1(concat_ws(' ', event_type, props)) AS text_hash FROM events
+WHERE user_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1""")
 def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a stream of records, put into a collection until nothing more is there."""
     from tarnlake.streaming.stream import upsert_stream
@@ -523,7 +528,14 @@ def rank_apply_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.apply_ranking(results, ranked).select("rank", "doc_id")
 
 
-@registered()
+@registered(f"""WITH {bm25_sql('documents')}, t AS (SELECT doc_id, score, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS p FROM bm25 QUALIFY p <= 20),
+k AS (SELECT t.*, tok.tokens FROM t JOIN tok USING (doc_id)), m AS (SELECT count(*) AS n, avg(len(tokens)) AS mean FROM k),
+w AS (SELECT term, count(*) AS times FROM (SELECT unnest({ASKED.split()}) AS term) GROUP BY term),
+g AS (SELECT w.term, w.times, count(*) FILTER (WHERE list_contains(k.tokens, w.term)) AS held FROM w, k GROUP BY ALL),
+c AS (SELECT k.doc_id, g.times * (ln(m.n + 1) - ln(g.held + 0.5)) AS weight, len(list_filter(k.tokens, lambda x: x = g.term)) / (0.25 + 0.75 * len(k.tokens) / m.mean) AS c FROM k, g, m WHERE g.held > 0),
+l AS (SELECT doc_id, sum(weight * 2.5 * (c + 0.5) / (2.0 + c)) AS l FROM c GROUP BY doc_id),
+f AS (SELECT k.doc_id, k.p, 0.7 * k.score / max(k.score) OVER () + 0.3 * CASE WHEN max(l) OVER () > 0 THEN l / max(l) OVER () ELSE 0 END AS score FROM k JOIN l USING (doc_id))
+SELECT row_number() OVER (ORDER BY round(score, 9) DESC, p)::INT AS rank, doc_id, round(score, 6) AS score FROM f""")
 def bm25l_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best 20 by BM25 in a new order, fused with BM25L among themselves."""
     held = ranking.with_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), F.col("text"))
@@ -550,11 +562,15 @@ def eval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
 
 
-@registered()
+@registered(f"""WITH RECURSIVE {bm25_sql('documents')},
+t AS (SELECT doc_id, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id)::INT AS rank, length(text) AS n FROM bm25 JOIN documents USING (doc_id) QUALIFY rank <= {TOP}),
+f AS (SELECT 0 AS rank, 0::BIGINT AS doc_id, 0::BIGINT AS chars, 0::BIGINT AS used UNION ALL
+  SELECT t.rank, t.doc_id, x, used + x FROM f JOIN t ON t.rank = f.rank + 1, LATERAL (SELECT CASE WHEN least(2000, 8000 - used) < 200 THEN 0 ELSE least(n, 2000, 8000 - used) END AS x))
+SELECT rank, doc_id, chars, CASE WHEN least(2000, 8000 - (used - chars)) < 200 THEN 'budget_exhausted' END AS reason FROM f WHERE rank > 0""")
 def content_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contents of the best windows within the shared budget."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     best = ranking.top(ranking.bm25_direct(ranking.with_tokens(docs, F.col("text")), terms_of(ASKED), "doc_id"), "bm25", "doc_id", TOP)
     rows = [r.asDict() for r in docs.join(F.broadcast(best), "doc_id").orderBy("rank").collect()]  # TOP rows
     shown = maintenance.with_contents([r | {"start_line": 1} for r in rows], lambda r, left: (r["text"] or "")[:left])
-    return spark.createDataFrame([(r["rank"], r["doc_id"], len(r["content"] or ""), r["reason"]) for r in shown], "rank int, doc_id long, chars int, reason string")
+    return spark.createDataFrame([(r["rank"], r["doc_id"], len(r["content"] or ""), r["reason"]) for r in shown], "rank int, doc_id long, chars long, reason string")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tarnlake.client import Client, as_json, porcelain
 from tarnlake.functions import text as T
-from tarnlake.operators import chunking, maintenance, ranking
+from tarnlake.operators import chunking, collections, maintenance, ranking
 from tarnlake.operators.codeparse import python_chunks, script_chunks
 from tarnlake.operators.collections import Collection, clear_collections, list_collections, python_embedder
 from tarnlake.operators.filters import METADATA, CollectionError, encoded_metadata, predicate
@@ -424,3 +424,28 @@ def test_client(spark, tmp_path):
         c.search("x", root, auto_index=False)
     with pytest.raises(ValueError):
         c.search("  ", root)
+
+
+def test_only_one_of_two_writers_wins(spark, tmp_path):
+    one = collections.Collection(spark, str(tmp_path), "notes")
+    one.upsert("a", "first")
+    stale = one.info()
+    collections.Collection(spark, str(tmp_path), "notes").upsert("b", "second")
+    with pytest.raises(collections.CollectionError, match="another writer"):
+        one._publish(stale, one.records(stale))
+    assert one.count() == 2 and {r["id"] for r in one.get_many(["a", "b"])} == {"a", "b"}
+    one.upsert("c", "third")  # reads the pointer anew
+    assert one.count() == 3
+
+
+def test_there_is_a_pointer_at_any_time(spark, tmp_path, monkeypatch):
+    one = collections.Collection(spark, str(tmp_path), "notes")
+    one.upsert("a", "first")
+    files = one.files
+    files.fs().create(files.path("claim-000000000002"), False).close()  # a writer that was lost between the two steps
+    with pytest.raises(collections.CollectionError, match="another writer"):
+        one.upsert("b", "second")
+    assert one.count() == 1
+    monkeypatch.setattr(collections, "STALE", -10.0)
+    one.upsert("b", "second")
+    assert one.count() == 2 and files.pointer()[0] == 2
