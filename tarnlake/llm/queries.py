@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnlake.llm import bpe, jaccard, langid, media, mixing, quality, secrets, sharding, topk, toxicity
+from tarnlake.llm.store import spread
 
 #: Labelled rows that a model is fitted on at most.
 QUALITY_ROWS, TOXIC_ROWS, LANGUAGE_ROWS = 3000, 3000, 1500
@@ -22,7 +23,7 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def remainder(mod: int, key: str = "doc_id") -> Column:
