@@ -18,14 +18,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnlake.llm.arrowtext import WHITE, Hasher, pieces, runs
+from tarnlake.llm.arrowtext import WHITE, Hasher, pieces, runs, tidy
 from tarnlake.llm.store import fresh, kind
 
 #: Cuts that a worker remembers at most (some 30 bytes each); then it starts anew.
 REMEMBERED = 500_000
 
 #: Bytes of text that are worked on at once.
-PIECE = 2 << 20
+PIECE = 1 << 20
 
 #: White space beyond ASCII, as the tokenizer's patterns have it.
 _FAR_SPACE = regex.compile(r"[^\P{White_Space}\x00-\x7f]")
@@ -257,4 +257,4 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", outputs: tu
                 columns = [c for i, c in enumerate(piece.columns) if i != at] + [made[name]() for name in outputs]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return out.mapInArrow(run, schema)
+    return out.mapInArrow(tidy(run), schema)

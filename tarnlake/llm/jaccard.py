@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnlake.llm.arrowtext import LOWER, WHITE, Hasher, flat, mixed, pieces, runs
+from tarnlake.llm.arrowtext import LOWER, WHITE, Hasher, flat, mixed, pieces, runs, tidy
 from tarnlake.llm.graph import components
 from tarnlake.llm.store import Scratch, fresh, saved
 
@@ -287,7 +287,7 @@ class _Join:
 
     def __init__(self, texts: DataFrame, words: int, percent: int):
         self.texts, self.words, self.percent, self.scratch = texts, words, percent, Scratch()
-        keyed = texts.mapInArrow(_keyed(words), f"id long, n long, lo long, hi long, {', '.join(f'{s} long' for s in _PARITIES)}")
+        keyed = texts.mapInArrow(tidy(_keyed(words)), f"id long, n long, lo long, hi long, {', '.join(f'{s} long' for s in _PARITIES)}")
         keyed = self.scratch(keyed)
         self.rows = keyed.select("id", "n", "lo", "hi")
         self.classes = self.scratch(keyed.where("n > 0 and id is not null").groupBy("lo", "hi").agg(F.min("id").alias("rep"), *[F.first(c).alias(c) for c in ("n", *_PARITIES)]))
@@ -296,7 +296,7 @@ class _Join:
 
     def members(self) -> DataFrame:
         """sig, lo, head (the first set of the group) of the groups with two sets or more, each set once."""
-        signed = self.texts.where("id is not null").select("id", "text").mapInArrow(_signed(self.words, self.percent), "sig long, lo long")
+        signed = self.texts.where("id is not null").select("id", "text").mapInArrow(tidy(_signed(self.words, self.percent)), "sig long, lo long")
         group = Window.partitionBy("sig").orderBy("lo")
         head = F.first("lo").over(group.rowsBetween(Window.unboundedPreceding, Window.currentRow))
         grouped = signed.select("sig", "lo", head.alias("head"), F.lead("lo").over(group).alias("next"))
@@ -309,7 +309,7 @@ class _Join:
         wanted = self.scratch(wanted.join(self.repeated, "id", "left").select("lo", "id", F.coalesce("again", F.lit(False)).alias("again")))  # written, so its size decides how it is joined
         texts = self.texts.join(wanted, "id")
         once, more = texts.where("not again").select("lo", "text"), texts.where("again").select("lo", "text").dropDuplicates()
-        return once.union(more).mapInArrow(run, schema)
+        return once.union(more).mapInArrow(tidy(run), schema)
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b) of set keys, those whose whole sets link; wide sketches rule out most others before."""

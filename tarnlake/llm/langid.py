@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnlake.llm.arrowtext import LOWER, flat, pieces
+from tarnlake.llm.arrowtext import LOWER, flat, pieces, tidy
 from tarnlake.llm.store import fresh
 
 WINDOW = 192
@@ -183,4 +183,4 @@ def predict_languages(docs: DataFrame, model: LangModel | None, text: str = "tex
                 columns += [pa.array(names[np.where(has, best, len(names) - 1)], pa.string()), pa.array(np.where(has, p, 0.0))]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return out.mapInArrow(run, schema)
+    return out.mapInArrow(tidy(run), schema)

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnlake.llm.arrowtext import pieces
+from tarnlake.llm.arrowtext import pieces, tidy
 from tarnlake.llm.store import fresh
 
 RATE = 8000
@@ -194,4 +194,4 @@ def audio_columns(docs: DataFrame, text: str = "text", outputs: tuple[str, ...]
                 columns += [pa.array(found[name], types[_KINDS[name]]) for name in outputs]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return out.mapInArrow(run, schema)
+    return out.mapInArrow(tidy(run), schema)

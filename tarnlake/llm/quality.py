@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnlake.llm.arrowtext import LOWER, WHITE, Hasher, flat, flat_pieces, pieces, runs
+from tarnlake.llm.arrowtext import LOWER, WHITE, Hasher, flat, flat_pieces, pieces, runs, tidy
 from tarnlake.llm.chain import Chain
 from tarnlake.llm.store import fresh
 
@@ -197,7 +197,7 @@ def score_quality(docs: DataFrame, model: QualityModel, text: str = "text", scor
                 columns = [c for i, c in enumerate(piece.columns) if i != at] + [pa.array(values, pa.float64())]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return out.mapInArrow(run, schema)
+    return out.mapInArrow(tidy(run), schema)
 
 
 def label_lines(docs: DataFrame, model: QualityModel, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -216,4 +216,4 @@ def label_lines(docs: DataFrame, model: QualityModel, text: str = "text", key: s
                 line = np.arange(len(p)) - np.repeat(np.cumsum(per) - per, per)
                 yield pa.RecordBatch.from_arrays([piece.column(0).take(pa.array(row)), pa.array(line), pa.array(size.astype(np.int64)), pa.array(p)], names=schema.names)
 
-    return docs.select(key, F.col(text).alias("tl_text")).mapInArrow(run, schema)
+    return docs.select(key, F.col(text).alias("tl_text")).mapInArrow(tidy(run), schema)

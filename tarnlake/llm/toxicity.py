@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnlake.llm.arrowtext import LOWER, Hasher, flat, flat_pieces, mixed, pieces, runs
+from tarnlake.llm.arrowtext import LOWER, Hasher, flat, flat_pieces, mixed, pieces, runs, tidy
 from tarnlake.llm.chain import Chain
 from tarnlake.llm.quality import logistic
 from tarnlake.llm.store import fresh, kind
@@ -222,4 +222,4 @@ def score_toxicity(docs: DataFrame, model: ToxicModel, text: str = "text", score
                     columns.append(pa.ListArray.from_arrays(pa.array(np.searchsorted(row[on], np.arange(len(per) + 1)), pa.int32()), items))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return out.mapInArrow(run, schema)
+    return out.mapInArrow(tidy(run), schema)
