@@ -47,6 +47,8 @@ BLOCK = 256
 #: Words of 64 bits in a set's sketch, and in its folded form that all pairs are bounded by first; bits of a wide sketch for
 #: each element at least.
 SKETCH, FOLDED, WIDE = 8, 2, 4
+#: Words of 64 bits in the bitmap of ids whose texts are read again.
+FILTER = 1 << 16
 #: Set keys that a task remembers at most, so as not to sign one set again and again.
 REMEMBERED = 200_000
 
@@ -186,6 +188,7 @@ def set_keys(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 _PARITIES = [f"s{i}" for i in range(SKETCH)]
 _FOLDS = [f"f{i}" for i in range(FOLDED)]
+_BIT = f"pmod(xxhash64(id), {64 * FILTER}L)"
 
 
 def _keyed(words: int):
@@ -307,7 +310,10 @@ class _Join:
         nodes = pairs.select(F.col("a").alias("lo")).union(pairs.select(F.col("b").alias("lo"))).distinct()
         wanted = nodes.join(self.classes, "lo").select("lo", F.col("rep").alias("id"))
         wanted = self.scratch(wanted.join(self.repeated, "id", "left").select("lo", "id", F.coalesce("again", F.lit(False)).alias("again")))  # written, so its size decides how it is joined
-        texts = self.texts.join(wanted, "id")
+        # a bitmap of FILTER words over hashed ids keeps most other texts out of the shuffle, where `wanted` isn't broadcast
+        wanted_bits = self.scratch(wanted.select(F.expr(_BIT).alias("bit")).groupBy(F.expr("bit >> 6").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("bits")))
+        texts = self.texts.withColumn("bit", F.expr(_BIT)).withColumn("word", F.expr("bit >> 6")).join(F.broadcast(wanted_bits), "word")  # FILTER rows at most
+        texts = texts.where("bits & shiftleft(1L, cast(bit & 63 as int)) <> 0").select("id", "text").join(wanted, "id")
         once, more = texts.where("not again").select("lo", "text"), texts.where("again").select("lo", "text").dropDuplicates()
         return once.union(more).mapInArrow(tidy(run), schema)
 
