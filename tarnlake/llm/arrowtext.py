@@ -69,15 +69,20 @@ def flat_pieces(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarra
 Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
+def released() -> None:
+    """Gives memory that is free back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without it keeps what it has
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def tidy(run: Batches) -> Batches:
     """`run`, after which a worker gives freed memory back: workers live on from task to task, beside each other."""
 
     @functools.wraps(run)
     def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # a C library without it keeps what it has
-            ctypes.CDLL(None).malloc_trim(0)
+        released()
 
     return tidied
 

@@ -41,12 +41,12 @@ FEW = ((0, 1), (1, 3), (2, 5), (3, 6))
 #: (d, m) beyond that: up to MEDIUM differences, and for larger sets, whose signatures are many.
 MEDIUM, CUTS = 12, ((2, 4), (1, 3))
 #: Turns in which sets meet neighbours of their group, how many, and sets of a group that are put in one order together.
-TURNS, NEAR, STRETCH = 1, 3, 8192
+TURNS, NEAR, STRETCH = 1, 2, 8192
 #: Sets of a block.
 BLOCK = 256
 #: Words of 64 bits in a set's sketch, and in its folded form that all pairs are bounded by first; bits of a wide sketch for
 #: each element at least.
-SKETCH, FOLDED, WIDE = 8, 2, 4
+SKETCH, FOLDED, WIDE = 8, 2, 2
 #: Words of 64 bits in the bitmap of ids whose texts are read again.
 FILTER = 1 << 16
 #: Set keys that a task remembers at most, so as not to sign one set again and again.
@@ -298,12 +298,13 @@ class _Join:
         self.tried = self.parts = None
 
     def members(self) -> DataFrame:
-        """sig, lo, head (the first set of the group) of the groups with two sets or more, each set once."""
+        """sig, lo, head (the first set of the group), many (its sets) of the groups with two sets or more, each set once."""
         signed = self.texts.where("id is not null").select("id", "text").mapInArrow(tidy(_signed(self.words, self.percent)), "sig long, lo long")
         group = Window.partitionBy("sig").orderBy("lo")
         head = F.first("lo").over(group.rowsBetween(Window.unboundedPreceding, Window.currentRow))
         grouped = signed.select("sig", "lo", head.alias("head"), F.lead("lo").over(group).alias("next"))
-        return self.scratch(grouped.where("(next is null or next <> lo) and (next is not null or head <> lo)").select("sig", "lo", "head"))
+        grouped = grouped.where("(next is null or next <> lo) and (next is not null or head <> lo)").select("sig", "lo", "head")
+        return self.scratch(grouped.withColumn("many", F.count(F.lit(1)).over(Window.partitionBy("sig"))))
 
     def of_nodes(self, pairs: DataFrame, run, schema: str) -> DataFrame:
         """What `run` makes of the texts of the sets in pairs: only those are read into sets again, one text for a set."""
@@ -358,9 +359,9 @@ class _Join:
 
     def open(self, members: DataFrame) -> DataFrame:
         """sig, lo, part, many (sets of the group) of the groups that hold several components."""
-        placed = self.scratch(members.join(self.parts, F.col("lo") == F.col("node"), "left").select("sig", "lo", F.coalesce("component", "lo").alias("part")))
-        several = placed.groupBy("sig").agg(F.count(F.lit(1)).alias("many"), F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y")
-        return self.scratch(placed.join(self.scratch(several.select("sig", "many")), "sig"))
+        placed = self.scratch(members.join(self.parts, F.col("lo") == F.col("node"), "left").select("sig", "lo", "many", F.coalesce("component", "lo").alias("part")))
+        several = placed.groupBy("sig").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y")
+        return self.scratch(placed.join(self.scratch(several.select("sig")), "sig"))
 
     def neighbours(self, held: DataFrame, turn: int) -> DataFrame:
         """Pairs (a, b) of sets in different components that are near each other in a random order of their group."""
@@ -389,10 +390,11 @@ class _Join:
         """id, n, component_id of all rows."""
         members = self.members()
         self.link(members.where("head <> lo").select(F.col("head").alias("a"), F.col("lo").alias("b")))
+        members = members.where("many > 2").select("sig", "lo", "many")  # a group of two has been tried whole
         for turn in range(TURNS):
-            members = self.open(members.select("sig", "lo"))
+            members = self.open(members)
             self.link(self.neighbours(members, turn))
-        self.link(self.across(self.open(members.select("sig", "lo"))))
+        self.link(self.across(self.open(members.select("sig", "lo", "many"))))
         named = self.classes.select("lo", "hi", "rep").join(self.parts, F.col("lo") == F.col("node"), "left").withColumn("part", F.coalesce("component", "lo"))
         named = named.withColumn("tl_hi", F.when(F.col("component").isNull(), F.col("hi")))  # sets with one half key in common, unlinked
         least = named.groupBy(F.col("part").alias("of_part"), F.col("tl_hi").alias("of_hi")).agg(F.min("rep").alias("component_id"))

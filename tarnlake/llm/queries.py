@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnlake.llm import bpe, jaccard, langid, media, mixing, quality, secrets, sharding, topk, toxicity
+from tarnlake.llm.arrowtext import released
 from tarnlake.llm.store import spread
 
 #: Labelled rows that a model is fitted on at most.
@@ -38,6 +39,8 @@ def rated_quality(spark: SparkSession, docs: DataFrame, sf_dir: str, key: str =
     """`docs` with score, held_out and predicted, by a model of the labelled documents in `sf_dir`."""
     sample = quality.labelled_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "quality", remainder(4) != 2, QUALITY_ROWS)
     out = quality.score_quality(docs, quality.fit_quality(*sample), text)
+    del sample
+    released()
     return out.withColumn("held_out", F.coalesce(remainder(4, key) == 2, F.lit(False))).withColumn("predicted", (F.col("score") >= SURE).cast("int"))
 
 
@@ -54,6 +57,7 @@ def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit_toxicity(*quality.labelled_sample(docs, labels, "toxic", remainder(3) != 1, TOXIC_ROWS))
+    released()
     out = toxicity.score_toxicity(docs.select("doc_id", "text"), model)
     return out.select("doc_id", F.coalesce(remainder(3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= SURE).cast("int").alias("predicted"))
 
@@ -78,6 +82,7 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit_languages(*langid.language_sample(docs, remainder(5) != 0, LANGUAGE_ROWS))
+    released()
     out = langid.predict_languages(docs.select("doc_id", "text"), model)
     return out.select("doc_id", F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
