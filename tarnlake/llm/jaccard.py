@@ -228,32 +228,30 @@ def _signed(words: int, percent: int):
 
 
 def _hashed(words: int):
-    """node, h of rows whose set has the key `node`: an id may stand at several texts."""
+    """node, h: key and hashes of each text's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch, "text"):
-                h, n = shingles(*flat(piece.column(1)), words)
+                h, n = shingles(*flat(piece.column(0)), words)
                 lo, _ = set_keys(h, n)
-                same = pa.array(lo == piece.column(0).to_numpy(zero_copy_only=False))
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(h.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([piece.column(0), lists], names=["node", "h"]).filter(same)
+                yield pa.RecordBatch.from_arrays([pa.array(lo), lists], names=["node", "h"]).filter(pa.array(n > 0))
 
     return run
 
 
 def _wide(words: int):
-    """node, bits: wide sketches of rows whose set has the key `node`."""
+    """node, bits: key and wide sketch of each text's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch, "text"):
-                h, n = shingles(*flat(piece.column(1)), words)
+                h, n = shingles(*flat(piece.column(0)), words)
                 lo, _ = set_keys(h, n)
                 bits, at = wide_sketches(h, n)
-                same = pa.array(lo == piece.column(0).to_numpy(zero_copy_only=False))
                 lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(bits))
-                yield pa.RecordBatch.from_arrays([piece.column(0), lists], names=["node", "bits"]).filter(same)
+                yield pa.RecordBatch.from_arrays([pa.array(lo), lists], names=["node", "bits"]).filter(pa.array(n > 0))
 
     return run
 
@@ -309,13 +307,12 @@ class _Join:
     def of_nodes(self, pairs: DataFrame, run, schema: str) -> DataFrame:
         """What `run` makes of the texts of the sets in pairs: only those are read into sets again, one text for a set."""
         nodes = pairs.select(F.col("a").alias("lo")).union(pairs.select(F.col("b").alias("lo"))).distinct()
-        wanted = nodes.join(self.classes, "lo").select("lo", F.col("rep").alias("id"))
-        wanted = self.scratch(wanted.join(self.repeated, "id", "left").select("lo", "id", F.coalesce("again", F.lit(False)).alias("again")))  # written, so its size decides how it is joined
-        # a bitmap of FILTER words over hashed ids keeps most other texts out of the shuffle, where `wanted` isn't broadcast
-        wanted_bits = self.scratch(wanted.select(F.expr(_BIT).alias("bit")).groupBy(F.expr("bit >> 6").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("bits")))
-        texts = self.texts.withColumn("bit", F.expr(_BIT)).withColumn("word", F.expr("bit >> 6")).join(F.broadcast(wanted_bits), "word")  # FILTER rows at most
-        texts = texts.where("bits & shiftleft(1L, cast(bit & 63 as int)) <> 0").select("id", "text").join(wanted, "id")
-        once, more = texts.where("not again").select("lo", "text"), texts.where("again").select("lo", "text").dropDuplicates()
+        # a bitmap of FILTER words over hashed ids picks the texts; what few others it lets through has keys that no pair has
+        places = nodes.join(self.classes, "lo").select(F.expr(_BIT.replace("id", "rep")).alias("bit"))
+        bits = self.scratch(places.groupBy(F.expr("bit >> 6").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("bits")))
+        texts = self.texts.withColumn("bit", F.expr(_BIT)).withColumn("word", F.expr("bit >> 6")).join(F.broadcast(bits), "word")  # FILTER rows at most
+        texts = texts.where("bits & shiftleft(1L, cast(bit & 63 as int)) <> 0").select("id", "text").join(self.repeated, "id", "left")
+        once, more = texts.where("again is null").select("text"), texts.where("again").select("text").dropDuplicates()
         return once.union(more).mapInArrow(tidy(run), schema)
 
     def verified(self, pairs: DataFrame) -> DataFrame:
@@ -324,7 +321,7 @@ class _Join:
         for end in ("a", "b"):
             pairs = pairs.join(_ended(self.classes, end, "n"), end).join(bits.select(F.col("node").alias(end), F.col("bits").alias(f"bits_{end}")), end)
         allowed = F.floor((100 - self.percent) * (F.col("n_a") + F.col("n_b")) / (100 + self.percent))
-        pairs = self.scratch(pairs.where(_bits_apart(F.col("bits_a"), F.col("bits_b")) <= allowed).select("a", "b"))
+        pairs = self.scratch(pairs.where(_bits_apart(F.col("bits_a"), F.col("bits_b")) <= allowed).select("a", "b").distinct())
         sets = self.of_nodes(pairs, _hashed(self.words), "node long, h array<long>")
         both = pairs.join(sets.select(F.col("node").alias("a"), F.col("h").alias("ha")), "a").join(sets.select(F.col("node").alias("b"), F.col("h").alias("hb")), "b")
         common = F.size(F.array_intersect("ha", "hb"))
