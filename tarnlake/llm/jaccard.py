@@ -14,6 +14,8 @@ Of a group (the sets with one signature) each set is first paired with the first
 components, in a few turns with some neighbours in a random order; both are linear. Groups that are open still are
 compared in blocks, large ones spread over many tasks; of a pair of blocks only such pairs
 come out as exact bounds (sizes, and a parity sketch, whose differing bits never outnumber the differing elements) allow.
+Sets that are alike but don't link share many groups. A pair is due in the largest of them: each set carries the largest
+of its groups, and in a smaller one a pair with one of those in common is left out, as it has met there.
 """
 
 from __future__ import annotations
@@ -42,8 +44,8 @@ FEW = ((0, 1), (1, 3), (2, 5), (3, 6))
 MEDIUM, CUTS = 12, ((2, 4), (1, 3))
 #: Turns in which sets meet neighbours of their group, how many, and sets of a group that are put in one order together.
 TURNS, NEAR, STRETCH = 1, 2, 8192
-#: Sets of a block.
-BLOCK = 256
+#: Sets of a block, and how many of its largest groups a set carries.
+BLOCK, MET = 256, 8
 #: Words of 64 bits in a set's sketch, and in its folded form that all pairs are bounded by first; bits of a wide sketch for
 #: each element at least.
 SKETCH, FOLDED, WIDE = 8, 2, 2
@@ -369,19 +371,30 @@ class _Join:
         placed = placed.select("lo", "part", F.explode("near").alias("x"))
         return placed.where("x.part <> part").select(F.least("x.lo", "lo").alias("a"), F.greatest("x.lo", "lo").alias("b"))
 
+    def met(self, held: DataFrame) -> DataFrame:
+        """`held` with `seen`: those of the MET largest groups of the row's set that come before the row's group.
+
+        Groups come by size, then by signature, an order that all sets share. So two sets that have a group in common in
+        `seen` are together in a group that comes before, and in the first group of all that they share they have none.
+        """
+        before = Window.partitionBy("lo").orderBy(F.desc("many"), "sig").rowsBetween(Window.unboundedPreceding, -1)
+        return held.withColumn("seen", F.array_compact(F.array(*[F.nth_value("sig", i).over(before) for i in range(1, MET + 1)])))
+
     def across(self, held: DataFrame) -> DataFrame:
         """Pairs (a, b) of sets in one group and in different components that sizes and sketches leave possible.
 
         A group of more than BLOCK sets is cut into blocks, and each set goes to the cells (p, q) that its block makes with
         each block of the group; so no task gets a whole large group. Bounds are part of the join: nothing else comes out.
+        A pair comes out of the first group that it shares, and of others only where no group in `seen` tells so.
         """
         held = held.withColumn("blocks", F.ceil(F.col("many") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("lo"), "blocks").cast("int"))
-        held = self.scratch(held.join(self.classes.select("lo", "n", *_PARITIES), "lo"))
+        held = self.scratch(self.met(held).join(self.classes.select("lo", "n", *_PARITIES), "lo"))
         held = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        held = held.select("sig", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "lo", "part", "n", *_PARITIES)  # both sides alike: one shuffle
-        one, two = (_ended(held, end, "part", "n", *_PARITIES, "sig", "p", "q", "block") for end in "ab")
+        held = held.select("sig", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "lo", "part", "n", "seen", *_PARITIES)  # both sides alike: one shuffle
+        one, two = (_ended(held, end, "part", "n", "seen", *_PARITIES, "sig", "p", "q", "block") for end in "ab")
         cell = (F.col("sig_a") == F.col("sig_b")) & (F.col("p_a") == F.col("p_b")) & (F.col("q_a") == F.col("q_b")) & ((F.col("p_a") == F.col("q_a")) | (F.col("block_a") != F.col("block_b")))
-        return one.join(two, cell & (F.col("a") < F.col("b")) & (F.col("part_a") != F.col("part_b")) & _may_link(self.percent, _PARITIES)).select("a", "b")
+        due = (F.col("a") < F.col("b")) & (F.col("part_a") != F.col("part_b")) & _may_link(self.percent, _PARITIES) & ~F.arrays_overlap("seen_a", "seen_b")
+        return one.join(two, cell & due).select("a", "b")
 
     def run(self) -> DataFrame:
         """id, n, component_id of all rows."""

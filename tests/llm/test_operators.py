@@ -380,6 +380,24 @@ def test_one_passage_in_every_document(spark, monkeypatch, block):
     assert got == [(i, len(s), least[i]) for i, s in enumerate(sets)]
 
 
+@pytest.mark.parametrize(("met", "block"), [(8, 256), (8, 2), (1, 256), (2, 3)])
+def test_pairs_of_many_groups(spark, monkeypatch, met, block):
+    """Sets that are alike share many groups: no pair of them is lost, and none comes out of each group."""
+    monkeypatch.setattr(jaccard, "MET", met)
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rng = np.random.default_rng(3)
+    groups = [set(range(12)), *(set(rng.choice(12, int(rng.integers(3, 12)), False).tolist()) for _ in range(40)), {3, 20, 21}, {20, 21, 22}, {7, 22, 23}]
+    part = {i: 100 + i % 5 if i < 12 else 100 + i for i in range(24)}
+    join = jaccard._Join.__new__(jaccard._Join)
+    join.percent, join.scratch = 85, jaccard.Scratch()
+    join.classes = spark.createDataFrame([(i, 50, *[0] * jaccard.SKETCH) for i in range(24)], f"lo long, n long, {', '.join(f's{i} long' for i in range(jaccard.SKETCH))}")
+    held = spark.createDataFrame([(s, i, len(g), part[i]) for s, g in enumerate(groups) for i in g], "sig long, lo long, many long, part long")
+    got = [tuple(r) for r in join.across(held).collect()]
+    join.scratch.clear()
+    assert set(got) == {(a, b) for g in groups for a in g for b in g if a < b and part[a] != part[b]}
+    assert len(got) == len(set(got))  # here the first group holds all others but the last three
+
+
 def test_one_of_each(spark):
     frame = spark.createDataFrame([(1, "a b c d e"), (2, "A b c d e"), (3, "x"), (None, "y"), (4, None)], "doc_id long, text string")
     kept = jaccard.one_of_each(frame, jaccard.jaccard_components(frame))
